@@ -151,7 +151,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 specs[spec] = spec_of(spec)
             reason, values = parse_row(raw, kind, delimiter, specs.get(spec), text_field)
             reasons.append(reason)
-            rows.append(None if values is None else json.dumps(values, ensure_ascii=False))
+            rows.append(None if values is None else json.dumps(values))
         yield pa.RecordBatch.from_arrays([batch.column("row_id"), pa.array(reasons, pa.string()), pa.array(rows, pa.string())], names=["row_id", "reason", "row"])
 
 
