@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import bpe, content
+from . import bpe, content, lookalike, mojibake
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,3 +32,23 @@ def p1_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"))
+
+
+@query
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.same_looks(table(spark, sf_dir, "documents"))
+
+
+@query
+def p10_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.forms(table(spark, sf_dir, "documents"))
+
+
+@query
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.affected(table(spark, sf_dir, "records"))
+
+
+@query
+def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.restored(table(spark, sf_dir, "records"))
