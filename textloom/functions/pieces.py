@@ -16,7 +16,8 @@ def words(text: str) -> list[str]:
     """The pieces between whitespace in lower case, cut at both ends down to letters, marks and digits; empty ones go."""
     out = []
     for piece in text.lower().split():
-        if not (piece[0].isalnum() and piece[-1].isalnum()):
+        first, last = piece[0], piece[-1]
+        if not ((first.isalpha() or first.isdecimal()) and (last.isalpha() or last.isdecimal())):
             piece = OUTER.sub("", piece)
             if not piece:
                 continue
