@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import bpe, content, lookalike, mojibake
+from . import bpe, content, lookalike, mojibake, near, quality, repetition
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,3 +52,28 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.restored(table(spark, sf_dir, "records"))
+
+
+@query
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_pairs(table(spark, sf_dir, "records"))
+
+
+@query
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.repetitive(table(spark, sf_dir, "records"), table(spark, sf_dir, "inputs"))
+
+
+@query
+def p3_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.vectors(table(spark, sf_dir, "records"), table(spark, sf_dir, "inputs"), min_words=1).select("id", "share")
+
+
+@query
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.kinds(table(spark, sf_dir, "records"), table(spark, sf_dir, "common_words"), table(spark, sf_dir, "findings"))
+
+
+@query
+def p6_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.statistics(table(spark, sf_dir, "records"), table(spark, sf_dir, "common_words"))
