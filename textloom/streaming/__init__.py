@@ -1 +1 @@
-"""Subpackage of textloom."""
+"""Streams of records."""
