@@ -70,32 +70,53 @@ def lossy(run: str, codec: str) -> str:
     return run.encode("utf-8", "replace").decode(codec, "replace")
 
 
-def ungarble(run: str) -> str | None:
-    """The original of a run that is wholly valid when read back, or None."""
-    if run.isascii() or REPLACEMENT in run:
-        return None
-    for chain in reversed(CHAINS):
-        at: str | None = run
-        for codec in reversed(chain):
-            table = reverse(codec)
-            try:
-                at = bytes([table[c] for c in at]).decode("utf-8")
-            except (KeyError, UnicodeDecodeError):
-                at = None
-                break
-        if at is not None and not re.search(r"[\x80-\x9f]", at):
-            return at
-    return None
+def from_euc(run: str) -> str:
+    """The same of EUC-JP bytes; the run itself where it has no such bytes."""
+    try:
+        return run.encode("euc_jp").decode("latin-1")
+    except UnicodeEncodeError:
+        return run
 
 
+#: Kana of EUC-JP, read as western text.
+KANA_PAIRS = re.compile("(?:[¤¥][¡-ö]){2,}")
 #: A lead character and what may follow it, when UTF-8 was read in the two commonest encodings: such a pair inside a run counts.
 INSIDE = re.compile(
     "Ã[\x80-\xa0¡-¿€ƒ‚„…†‡ˆ‰‹ŒŽ‘’“”•–—˜™š›œžŸ]|Â[\x80-\xa0¡-¿]|â€[\x80-\xa0¡-¿œ™˜\u009d\u0093\u0094“”•–—¦š]|â\x80[\x80-\xbf]"
     "|à[¤¥¦§®¯¸¹][\x80-\xa0¡-¿€ƒ‚„…†‡ˆ‰‹ŒŽ‘’“”•–—˜™š›œžŸŠ]|ï¿½|ðŸ[\x80-\xa0¡-¿€ƒ‚„…†‡ˆ‰‹ŒŽ‘’“”•–—˜™š›œžŸŠ]"
+    "|(?:[¤¥][¡-ö]){2,}|(?:‚[Ÿ\xa0-ñ]){2,}"  # kana in the two legacy encodings of Japanese
     "|á[¸¹º»][\x80-\xa0¡-¿€ƒ‚„…†‡ˆ‰‹ŒŽ‘’“”•–—˜™š›œžŸŠ]|[\x80-\x84\x86-\x9f]"
 )
 
 
+def unread(run: str, chain: tuple[str, ...]) -> str | None:
+    """The run before its bytes were read in the encodings of the chain, if all of it is valid."""
+    at = run
+    for codec in reversed(chain):
+        table = reverse(codec)
+        try:
+            at = bytes([table[c] for c in at]).decode("utf-8")
+        except (KeyError, UnicodeDecodeError):
+            return None
+    return at
+
+
+def ungarble(run: str) -> str | None:
+    """The original of a run that is wholly valid when read back and not garbled itself, or None; the commonest chain first."""
+    if run.isascii() or REPLACEMENT in run:
+        return None
+    for chain in CHAINS:
+        at = unread(run, chain)
+        if at is not None and not INSIDE.search(at):
+            return at
+    if KANA_PAIRS.search(run):
+        try:
+            return bytes([reverse("cp1252")[c] for c in run]).decode("euc_jp")
+        except (KeyError, UnicodeDecodeError):
+            return None
+    return None
+
+
 def suspicious_run() -> Column:
     """Whether a run can be a garbled form at all."""
     return F.col("run").rlike("^" + garble_class() + "$") | F.col("run").contains(REPLACEMENT)
@@ -120,7 +141,7 @@ def _generated(bitmap: np.ndarray):
             forms: list[str] = []
             originals: list[str] = []
             for r in clean:
-                made = {garble(r, chain) for chain in CHAINS} | {lossy(r, codec) for codec in CODECS[1:4]}
+                made = {garble(r, chain) for chain in CHAINS} | {lossy(r, codec) for codec in CODECS[1:4]} | {from_euc(r)}
                 made.discard(r)
                 forms.extend(made)
                 originals.extend([r] * len(made))

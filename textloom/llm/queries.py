@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import bpe, content, lookalike, mixing, mojibake, near, quality, repetition
+from . import bpe, content, lookalike, mixing, mojibake, near, pii, quality, repetition
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -88,3 +88,13 @@ def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = table(spark, sf_dir, "mix_targets")
     return mixing.shares(mixing.mix(table(spark, sf_dir, "documents"), targets), targets)
+
+
+@query
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.kinds(table(spark, sf_dir, "records"))
+
+
+@query
+def p7_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replaced(table(spark, sf_dir, "records"))
