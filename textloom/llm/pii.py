@@ -165,22 +165,25 @@ def tagger(path: str = str(WEIGHTS)) -> Tagger:
         return Tagger({name: stored[name].astype(np.float32) for name in stored.files})
 
 
-AT = regex.compile(r"[@＠]|\b(?:at|AT)\b")
-DOT = regex.compile(r"[.．]|\b(?:dot|DOT)\b")
+#: The shape of an e-mail address, or of one spelled out; a plain "at" needs a spelled dot.
+ADDRESS_SIGN = regex.compile(
+    r"[\w.+-]\s?(?:[@＠]|[(\[{<]\s?at\s?[)\]}>])\s?[\w-]+(?:[.．]|\s?[(\[{<]\s?dot\s?[)\]}>]\s?|\sdot\s)[\w-]|[\w.+-]\sat\s[\w-]+\sdot\s[\w-]",
+    regex.IGNORECASE,
+)
 
 
 def fits(kind: str, span: str) -> bool:
     """Whether a span can be of its kind at all."""
-    digits, letters = len(regex.findall(r"\p{Nd}", span)), len(regex.findall(r"\p{L}", span))
+    digits, letters, words = len(regex.findall(r"\p{Nd}", span)), len(regex.findall(r"\p{L}", span)), len(span.split())
     if kind == "email":
-        return bool(AT.search(span) and DOT.search(span)) and letters >= 4
+        return bool(ADDRESS_SIGN.search(span))
     if kind == "phone":
         return 7 <= digits <= 15 and letters == 0
     if kind == "id_number":
         return 6 <= digits <= 20 and letters <= 4
     if kind == "address":
-        return digits >= 1 and letters >= 3
-    return letters >= 3 and digits == 0 and len(span.split()) >= 2
+        return digits >= 1 and letters >= 3 and ", " in span.replace("\n", " ")
+    return letters >= 3 and digits == 0 and 2 <= words <= 4
 
 
 def spans_of(text: str, labels: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, str]]:

@@ -11,11 +11,11 @@ KINDS = ("email", "phone", "id_number", "address", "name")
 
 #: Cues, by what they announce; those that follow a span are marked so.
 D = r"\p{Nd}"
-EMAIL = regex.compile(
-    r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._+-]*\s?(?:[@＠]|\(at\)|\[at\]|\{at\}|<at>|\s(?:at|AT)\s)\s?[A-Za-z0-9][A-Za-z0-9-]*(?:\s?(?:[.．]|\(dot\)|\[dot\]|\{dot\}|\s(?:dot|DOT)\s)\s?[A-Za-z][A-Za-z0-9-]*)+",
-)
+LOCAL, PART = r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._+-]*", r"[A-Za-z0-9][A-Za-z0-9-]*"
+DOT = r"(?:[.．]|\s?(?:\(dot\)|\[dot\]|\{dot\})\s?|\s(?:dot|DOT)\s)"
+EMAIL = regex.compile(rf"{LOCAL}(?:\s?(?:[@＠]|\(at\)|\[at\]|\{{at\}}|<at>)\s?{PART}(?:{DOT}[A-Za-z][A-Za-z0-9-]*)+|\s(?:at|AT)\s{PART}(?:\s(?:dot|DOT)\s[A-Za-z][A-Za-z0-9-]*)+)")
 NUMBER = rf"(?:\+\s?)?[(]?{D}(?:[ .()\-]{{0,2}}{D}){{6,14}}"
-BEFORE_PHONE = r"(?i:phone|whatsapp|phone/whatsapp|mobile|tel|call|ring|the number is)|मोबाइल|फ़ोन|फोन|মোবাইল|ফোন|কল করুন|தொலைபேசி|கைபேசி"
+BEFORE_PHONE = r"(?i:phone|whatsapp|phone/whatsapp|mobile|tel\.?|call|ring|the number is)|मोबाइल|फ़ोन|फोन|মোবাইল|ফোন|কল করুন|தொலைபேசி|கைபேசி"
 AFTER_PHONE = r"পর?\s?কল|নম্বরে|पर कॉल|मा सम्पर्क|எண்ணில்|after six|or come by"
 PHONE = (
     regex.compile(rf"(?:{BEFORE_PHONE})\s*[:：]?\s*(?P<x>{NUMBER})(?!{D})"),
@@ -37,10 +37,12 @@ ID_NUMBER = (
 PLACE = r"[\p{L}\p{M}]+"
 N = rf"{D}{{1,4}}[A-Za-z]?(?:/{D}{{1,3}})?"
 ZIP = rf"(?:\s?-\s?|\s){D}{{4,6}}"
-WAY = r"Road|Street|Lane|Avenue|লেন|সড়ক|রোড|মার্গ|मार्ग|नगर|गली|सड़क|தெரு|நகர்|சாலை|வீதி"
+WAY = r"Road|Street|Lane|Avenue|লেন|সড়ক|রোড|সরণি|মার্গ|मार्ग|नगर|गली|सड़क|தெரு|நகர்|சாலை|வீதி"
 ADDRESS = (
-    regex.compile(rf"(?P<x>(?:(?:House|Flat|Plot|No\.?|বাড়ি|ফ্ল্যাট|फ्लैट|मकान|घर नं\.?|घर|வீடு|எண்)\s?)?{N},?\s(?:[\p{{L}}\p{{M}}]+\s(?:Tower|House|Court|टावर|টাওয়ার),\s)?{PLACE}(?:\s{PLACE})?\s(?:{WAY})(?:,\s?{PLACE}(?:\s{PLACE})?)?(?:{ZIP})?)(?![\p{{L}}\p{{M}}])"),
-    regex.compile(rf"(?P<x>(?:House|Flat|Plot|No\.?|বাড়ি|ফ্ল্যাট|फ्लैट|मकान|घर नं\.?|घर|வீடு|எண்)\s?(?:नं\.?|নং|no\.?)?\s?{N},\s(?:(?:Road|Street|Lane|সড়ক|রোড|गली|सेक्टर|वडा|सड़क|தெரு|பகுதி)\s{D}{{1,3}}|[\p{{L}}\p{{M}}]+\s(?:Tower|House|Court))(?:,\s?{PLACE}(?:\s{PLACE})?)*(?:{ZIP})?)(?![\p{{L}}\p{{M}}])"),
+    regex.compile(rf"(?P<x>(?:(?:House|Flat|Plot|No\.?|বাড়ি|বাসা|ফ্ল্যাট|फ्लैट|मकान|घर नं\.?|घर|வீடு|எண்)\s?(?:নং\s)?)?(?:{N},\s)?{N},?\s(?:[\p{{L}}\p{{M}}]+\s(?:Tower|House|Court|टावर|টাওয়ার),\s)?{PLACE}(?:\s{PLACE})?\s(?:{WAY})(?:,\s?{PLACE}(?:\s{PLACE})?)?(?:{ZIP})?)(?![\p{{L}}\p{{M}}])"),
+    regex.compile(rf"(?P<x>{PLACE}\sटोल,\sघर(?:\sनं\.?)?\s{N}(?:,\s?{PLACE})?(?:{ZIP})?)(?![\p{{L}}\p{{M}}])"),
+    regex.compile(rf"(?P<x>(?:[Nn]o\.\s?){N},\s{PLACE}\s(?:Road|Street|Lane|Avenue)(?:,\s?{PLACE})?(?:{ZIP})?)(?![\p{{L}}\p{{M}}])"),
+    regex.compile(rf"(?P<x>(?:House|Flat|Plot|No\.?|বাড়ি|বাসা|প্লট|ফ্ল্যাট|फ्लैट|प्लॉट|मकान|घर नं\.?|घर|வீடு|எண்)\s?(?:नं\.?|নং|no\.?)?\s?{N},\s(?:(?:Road|Street|Lane|Sector|সড়ক|সেক্টর|রোড|गली|सेक्टर|वडा|सड़क|தெரு|பகுதி)\s{D}{{1,3}}|[\p{{L}}\p{{M}}]+\s(?:Tower|House|Court))(?:,\s?{PLACE}(?:\s{PLACE})?)*(?:{ZIP})?)(?![\p{{L}}\p{{M}}])"),
 )
 LATIN_NAME = r"[A-Z][a-z]+(?: [A-Z]\.)? [A-Z][a-z]+"
 INDIC_WORD = r"(?:(?:\p{Bengali}|\p{Devanagari}|\p{Tamil})(?<![।॥\p{Nd}]))+"
