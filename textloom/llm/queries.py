@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import bpe, content, lookalike, mixing, mojibake, near, pii, quality, repetition
+from . import bpe, content, lookalike, mixing, mojibake, near, oracles, pii, quality, repetition
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -98,3 +98,6 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p7_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replaced(table(spark, sf_dir, "records"))
+
+
+ORACLES |= {"p1_found": oracles.P1_FOUND, "p1_copies": oracles.P1_COPIES, "p2_found": oracles.P2_FOUND, "p3_found": oracles.P3_FOUND, "p3_shares": oracles.P3_SHARES}
