@@ -22,6 +22,7 @@ SPACE = r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202
 W = r"[\p{L}\p{N}_]"
 EMAIL = rf"(?:(?<={W})(?!{W})|(?<!{W})(?={W}))[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}(?!{W})"
 URL = rf"(?iu)(?:https?://|www\.|(?<!{W}){W}+\.(?:com|org|net|info|biz)(?!{W}))"
+URL_PART = r"(?iu)://|www\.|\.(?:com|org|net|info|biz)"
 MOJIBAKE = "�|Ã.|Â.|â€|ðŸ"
 SYMBOLS = r"[\p{P}\p{S}]"
 TOKENS = r"[\p{L}\p{M}\p{N}]+"
@@ -113,8 +114,13 @@ def marker_count(folded: Column, profile: Profile) -> Column:
 
 
 def urls(text: Column) -> Column:
-    """The matched beginnings of links."""
-    return F.regexp_extract_all(text, F.lit(URL), F.lit(0))
+    """The matched beginnings of links; a text without the parts that every link has is not searched for them."""
+    found = F.regexp_extract_all(text, F.lit(URL), F.lit(0))
+    return F.when(text.rlike(URL_PART), found).otherwise(F.array().cast("array<string>"))
+
+
+def has_email(text: Column) -> Column:
+    return F.contains(text, F.lit("@")) & text.rlike(EMAIL)
 
 
 def url_ratio(text: Column) -> Column:
@@ -123,8 +129,9 @@ def url_ratio(text: Column) -> Column:
 
 def mask(text: Column, profile: Profile) -> Column:
     """(masked, emails, phones): e-mail addresses first, then phone numbers by each pattern in turn."""
-    emails = F.regexp_count(text, F.lit(EMAIL))
-    masked, phones = F.regexp_replace(text, EMAIL, "<EMAIL>"), F.lit(0)
+    sign = F.contains(text, F.lit("@"))
+    emails = F.when(sign, F.regexp_count(text, F.lit(EMAIL))).otherwise(0)
+    masked, phones = F.when(sign, F.regexp_replace(text, EMAIL, "<EMAIL>")).otherwise(text), F.lit(0)
     for pattern in profile.phones:
         phones = phones + F.regexp_count(masked, F.lit(pattern))
         masked = F.regexp_replace(masked, pattern, "<PHONE>")

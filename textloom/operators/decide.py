@@ -44,7 +44,6 @@ def decided(records: DataFrame, profile: Profile, policy: Policy, extra: Sequenc
     else:
         found = found.withColumn("first_record", F.lit(None).cast("long"))
     if policy.near_dedup:
-        found = written(found)
         matched, sets, pairs = near.matches(found, policy)
         matched = written(matched)
         found = near.marked(found, matched, policy)

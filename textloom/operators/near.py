@@ -58,18 +58,15 @@ def coefficients(count: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signature(hashes: np.ndarray, count: int) -> np.ndarray:
-    """The least value of each permutation; products modulo 2^61 - 1 from 31-bit halves."""
-    prime = np.uint64(PRIME)
+    """The least value of each permutation; products modulo 2^61 - 1 from 31-bit halves, for all permutations at once."""
+    prime, half = np.uint64(PRIME), np.uint64(31)
+    a, b = (x[:, None] for x in coefficients(count))
     h = hashes % prime
-    h1, h0 = h >> np.uint64(31), h & BITS31
-    out = np.empty(count, np.uint64)
-    for k, (a, b) in enumerate(zip(*coefficients(count))):
-        a1, a0 = a >> np.uint64(31), a & BITS31
-        middle = a1 * h0 + a0 * h1
-        high = np.uint64(2) * (a1 * h1) + (middle >> np.uint64(30))
-        low = ((middle & BITS30) << np.uint64(31)) + a0 * h0 % prime
-        out[k] = ((high % prime + low % prime) % prime + b) % prime if len(h) == 0 else (((high % prime + low % prime) % prime + b) % prime).min()
-    return out
+    h1, h0, a1, a0 = h >> half, h & BITS31, a >> half, a & BITS31
+    middle = a1 * h0 + a0 * h1
+    high = (np.uint64(2) * (a1 * h1) + (middle >> np.uint64(30))) % prime
+    low = (((middle & BITS30) << half) + a0 * h0 % prime) % prime
+    return ((high + low + b) % prime).min(1)
 
 
 def bands(signed: np.ndarray, rows: int) -> list[int]:

@@ -98,7 +98,7 @@ def rules(profile: Profile, policy: Policy) -> list[Rule]:
     ]
     if policy.mask_pii:
         found += [
-            Rule("email_detected", "transform", "Email addresses will be masked.", norm.rlike(X.EMAIL)),
+            Rule("email_detected", "transform", "Email addresses will be masked.", X.has_email(norm)),
             Rule("phone_detected", "transform", "Phone numbers will be masked.", phone),
         ]
     return found

@@ -4,12 +4,33 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application, so that their Python workers can import it wherever they run."""
+    context = spark.sparkContext
+    if context.applicationId in SHIPPED:
+        return
+    package = Path(__file__).parent
+    path = Path(tempfile.mkdtemp(prefix="textloom-package-")) / "textloom.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as packed:
+        for file in sorted(package.rglob("*")):
+            if file.suffix in (".py", ".npz"):
+                packed.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(path))
+    SHIPPED.add(context.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table ``name`` of the data directory."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -41,5 +62,6 @@ def spread(df: DataFrame) -> DataFrame:
 
     A scan of a large table already has more partitions than that and stays as it is, without a shuffle.
     """
+    ship(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
