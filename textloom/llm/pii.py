@@ -14,6 +14,8 @@ extra columns are ignored.
 
 from __future__ import annotations
 
+import io
+import pkgutil
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -160,8 +162,10 @@ class Tagger:
 
 
 @lru_cache(maxsize=2)
-def tagger(path: str = str(WEIGHTS)) -> Tagger:
-    with np.load(path) as stored:
+def tagger(path: str | None = None) -> Tagger:
+    """The network of a file, or of the weights that come with this package, be it a folder or an archive."""
+    source = path or io.BytesIO(pkgutil.get_data(__package__, WEIGHTS.name))
+    with np.load(source) as stored:
         return Tagger({name: stored[name].astype(np.float32) for name in stored.files})
 
 
