@@ -28,6 +28,20 @@ def test_pairs_against_brute_force(spark):
     assert len(got) >= 0.99 * len(want)
 
 
+def test_crowded_variants_lose_no_pair(spark):
+    rng = random.Random(8)
+    frame = [f"common{k}" for k in range(30)]
+    texts = []
+    for k in range(60):
+        own = [f"own{rng.randrange(40)}" for _ in range(rng.randrange(1, 25))]
+        at = rng.randrange(30)
+        texts.append(" ".join(frame[:at] + own + frame[at:]))
+    df = spark.createDataFrame(list(enumerate(texts, 1)), "record long, text string")
+    _, classes = near.classified(df, "record", "text", near.SHINGLE, near.MIN_WORDS)
+    got = {(r.a, r.b) for r in near.near_classes(classes, large=3).collect()}
+    assert got == brute(texts) and len(got) > 50
+
+
 def test_copies_never_pair_and_empty(spark):
     text = "one two three four five six seven eight nine ten eleven twelve"
     df = spark.createDataFrame([(k, text if k % 2 else text.title() + "!") for k in range(50)] + [(99, text + " thirteen")], "record long, text string")

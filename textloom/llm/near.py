@@ -4,7 +4,8 @@ A text is the set of its sequences of three words. Its fingerprints are ``FINGER
 in each, two texts of similarity s agree at any place with probability s. The distance of two fingerprints counts insertions and
 deletions of symbols, so one differing symbol is a distance of two. Every fingerprint emits all its variants within half that radius:
 those with one symbol left out. Two fingerprints within the radius meet at the variant without the symbol in which they differ.
-Texts are shuffled on variants, the colliding pairs deduplicated, and each pair verified on the full sets.
+Texts are shuffled on variants, the colliding pairs deduplicated, and each pair verified on the full sets. Variants on which very many
+texts would meet are replaced by an exact filter on rare shingles for those texts.
 
 Texts of one word sequence and content form a class and only one of them takes part, so copies never meet. Pairs of classes are
 expanded into pairs of records at the end. With ten fingerprints of four symbols a pair at the threshold of 0.6 is found with
@@ -30,6 +31,8 @@ from .pairs import expand
 
 THRESHOLD, SHINGLE, MIN_WORDS = 0.6, 3, 8
 FINGERPRINTS, SYMBOLS = 10, 4
+#: Classes that may meet on one variant.
+LARGE = 1000
 ODD = np.random.default_rng(2024).integers(0, 1 << 63, size=(256, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -104,11 +107,36 @@ def _emitted(fingerprints: int, symbols: int):
     return run
 
 
-def near_classes(classes: DataFrame, threshold: float = THRESHOLD, fingerprints: int = FINGERPRINTS, symbols: int = SYMBOLS) -> DataFrame:
-    """(a, b, similarity): pairs of rows (class, content, shingles) of other content whose similarity is at least ``threshold``."""
-    emitted = classes.select("class", "shingles").mapInArrow(_emitted(fingerprints, symbols), "variant long, class long")
-    left, right = emitted.select("variant", F.col("class").alias("a")), emitted.select("variant", F.col("class").alias("b"))
-    candidates = written(left.join(right, "variant").where("a < b").select("a", "b").distinct())
+def met(emitted: DataFrame) -> DataFrame:
+    """(a, b), a < b: classes that share a key of (key, class); duplicates remain."""
+    return emitted.select("key", F.col("class").alias("a")).join(emitted.select("key", F.col("class").alias("b")), "key").where("a < b").select("a", "b")
+
+
+def rare_prefixes(classes: DataFrame, threshold: float) -> DataFrame:
+    """(key, class): of each set its rarest shingles, as many as make sure that sets of this similarity share one of them.
+
+    Two sets of n and m elements with similarity t share at least t * max(n, m) elements, so one of them is among the
+    first n - ceil(t * n) + 1 of either, whatever the common order; rare shingles first keeps the groups small.
+    """
+    rows = classes.select("class", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
+    counts = rows.groupBy("key").agg(F.count("*").alias("often"))
+    ordered = rows.join(counts, "key").groupBy("class", "n").agg(F.sort_array(F.collect_list(F.struct("often", "key"))).alias("all"))
+    return ordered.select("class", F.explode(F.slice("all", 1, F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1)).alias("x")).select("x.key", "class")
+
+
+def near_classes(classes: DataFrame, threshold: float = THRESHOLD, fingerprints: int = FINGERPRINTS, symbols: int = SYMBOLS, large: int = LARGE) -> DataFrame:
+    """(a, b, similarity): pairs of rows (class, content, shingles) of other content whose similarity is at least ``threshold``.
+
+    Variants of more than ``large`` classes are no evidence of closeness: their classes meet on rare shingles instead, which misses no pair.
+    """
+    emitted = written(classes.select("class", "shingles").mapInArrow(_emitted(fingerprints, symbols), "variant long, class long").withColumnRenamed("variant", "key"))
+    crowded = written(emitted.groupBy("key").agg(F.count("*").alias("often")).where(F.col("often") > large).select("key"))
+    if crowded.isEmpty():
+        found = met(emitted)
+    else:
+        crowd = emitted.join(crowded, "key", "left_semi").select("class").distinct()
+        found = met(emitted.join(crowded, "key", "left_anti")).unionByName(met(rare_prefixes(classes.join(crowd, "class", "left_semi"), threshold)))
+    candidates = written(found.distinct())
     half = candidates.join(classes.select(F.col("class").alias("a"), F.col("content").alias("ca"), F.col("shingles").alias("sa")), "a")
     both = half.join(classes.select(F.col("class").alias("b"), F.col("content").alias("cb"), F.col("shingles").alias("sb")), "b").where("ca <> cb")
     shared = F.size(F.array_intersect("sa", "sb"))
