@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -57,11 +58,18 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Operators after which partitions follow from a shuffle; counting them would run it.
+SHUFFLING = re.compile(r"^[\s:+-]*(?:Join|Aggregate|Window|Sort|Repartition\w*|Distinct|Deduplicate|Intersect|Except|GlobalLimit|Generate)\b", re.MULTILINE)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give a scan of few partitions as many as the cluster has cores, so that Python stages use all of them.
 
-    A scan of a large table already has more partitions than that and stays as it is, without a shuffle.
+    A scan of a large table already has more partitions than that and stays as it is, without a shuffle; so does whatever comes
+    out of a shuffle.
     """
     ship(df.sparkSession)
+    if SHUFFLING.search(df._jdf.queryExecution().optimizedPlan().toString()):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
