@@ -8,7 +8,7 @@ import urllib.request
 import pytest
 from pyspark.sql import functions as F
 
-from textloom import cli
+from textloom import cli, session
 from textloom.dashboard import server
 from textloom.operators import near, rules, summaries
 from textloom.operators.decide import decided, stateless
@@ -162,6 +162,7 @@ def test_clean_jsonl_end_to_end(spark, tmp_path):
     with gzip.open(path, "wt") as file:
         file.write("\n".join(lines) + "\n")
     policy, profile = resolved({"profile": "hi"})
+    tables = len(session.WRITTEN)
     report = run_audit(spark, str(path), tmp_path / "out", "clean", policy, profile, text_field="content")
     assert (report["records_read"], report["records_kept"], report["records_rejected"], report["reconciliation_ok"]) == (7, 2, 5, True)
     assert report["findings_by_code"]["malformed_record"] == 4 and report["findings_by_code"]["exact_duplicate"] == 1
@@ -171,6 +172,7 @@ def test_clean_jsonl_end_to_end(spark, tmp_path):
     gone = [json.loads(line) for part in sorted((tmp_path / "out/rejected.jsonl").glob("part*")) for line in part.read_text().splitlines()]
     assert [x["record"] for x in gone] == [2, 3, 4, 6, 7] and gone[3]["findings"][-1]["threshold"] == "first_record" and gone[3]["findings"][-1]["value"] == 1
     assert "&lt;" not in (tmp_path / "out/report.html").read_text()[:200]
+    assert len(session.WRITTEN) == tables  # its intermediate tables are gone
     with pytest.raises(ValueError):
         run_audit(spark, str(path), tmp_path / "out", "analyze", policy, profile)
 

@@ -293,9 +293,18 @@ def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- near duplicates -----------------------------------------------------------------------------------------------
-@query()
+NEAR_PAIRS = (
+    f"WITH {N}, {_codes()}, tok AS (SELECT record, regexp_extract_all({FOLD}, '[\\p{{L}}\\p{{M}}\\p{{N}}]+') AS ws, replace({FOLD}, ' ', '') AS c FROM n WHERE t <> '' AND record NOT IN (SELECT record FROM f0 WHERE action = 'reject')), "
+    "sh AS (SELECT record, list_sort(list_distinct(CASE WHEN len(ws) >= 3 THEN [ws[k] || '␟' || ws[k + 1] || '␟' || ws[k + 2] for k in range(1, len(ws) - 1)] ELSE [substr(c, k, 5) for k in range(1, length(c) - 3)] END)) AS s FROM tok), "
+    "rep AS (SELECT min(record) AS record, s FROM sh WHERE len(s) > 0 GROUP BY s), e AS (SELECT record, len(s) AS size, unnest(s) AS x FROM rep), "
+    "p AS (SELECT a.record AS u, b.record AS v, a.size AS n, b.size AS m, count(*) AS k FROM e a JOIN e b ON a.x = b.x AND a.record < b.record GROUP BY ALL) "
+    "SELECT u, v, k / (n + m - k) AS similarity FROM p WHERE k / (n + m - k) >= 0.85"
+)
+
+
+@query(NEAR_PAIRS)
 def near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verified pairs of different shingle sets that share a band."""
+    """Verified pairs of different shingle sets that share a band; the SQL compares all sets that share a shingle."""
     found = written(stateless(documents(spark, sf_dir), EN, NEAR_POLICY))
     sets = written(near.sketches(found, NEAR_POLICY).where(F.size("shingles") > 0))
     firsts = sets.groupBy("set_key").agg(F.min("record").alias("record"))

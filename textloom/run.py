@@ -15,7 +15,7 @@ from .operators.decide import decided
 from .operators.rules import Rule
 from .policy import Policy
 from .profiles import Profile
-from .session import written
+from .session import WRITTEN, purge, written
 from .sources import lines, sinks
 
 
@@ -66,6 +66,7 @@ def run_audit(
     sinks.guard(list(files.values()), force)
     out.mkdir(parents=True, exist_ok=True)
     progress("deciding")
+    tables = len(WRITTEN)
     made = decided(lines.read_lines(spark, path, kind, text_field, max_records), profile, policy, rules)
     records = written(made.records)
     progress("summarizing")
@@ -87,6 +88,7 @@ def run_audit(
         sinks.write_lines(sinks.rejected_lines(records), rejected, force)
     seconds = time.perf_counter() - began
     report |= {"elapsed_seconds": round(seconds, 3), "throughput_records_per_second": round(report["records_read"] / seconds, 2), "outputs": {k: str(v) for k, v in files.items()}}
+    purge(spark, tables)
     sinks.write_json(policy.to_dict(), files["resolved_policy"])
     sinks.write_json(report, files["json_report"])
     files["html_report"].write_text(sinks.html_report(report), encoding="utf-8")

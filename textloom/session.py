@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 SHIPPED: set[str] = set()
+#: Intermediate tables of this process.
+WRITTEN: list[str] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -53,11 +55,21 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/textloom-{uuid.uuid4().hex}"
+    WRITTEN.append(path)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def purge(spark: SparkSession, since: int = 0) -> None:
+    """Delete the intermediate tables written since ``len(WRITTEN)`` was ``since``; only after all results that read them are stored."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name in WRITTEN[since:]:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
+    del WRITTEN[since:]
+
+
 #: Operators after which partitions follow from a shuffle; counting them would run it.
 SHUFFLING = re.compile(r"^[\s:+-]*(?:Join|Aggregate|Window|Sort|Repartition\w*|Distinct|Deduplicate|Intersect|Except|GlobalLimit|Generate)\b", re.MULTILINE)
 
