@@ -14,6 +14,7 @@ extra columns are ignored.
 
 from __future__ import annotations
 
+import ctypes
 import io
 import pkgutil
 from collections.abc import Iterator
@@ -161,6 +162,22 @@ class Tagger:
         return [(labels, starts) for labels, (_, starts) in zip(out, cut)]
 
 
+@lru_cache(maxsize=1)
+def one_thread() -> str | None:
+    """Keep this worker's matrix products on one core, as tasks fill all cores already; the name of the library's switch, if found."""
+    try:
+        paths = {line.split()[-1] for line in Path("/proc/self/maps").read_text().splitlines() if "openblas" in line}
+        for path in sorted(paths):
+            library = ctypes.CDLL(path)
+            for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+                if hasattr(library, name):
+                    getattr(library, name)(1)
+                    return name
+    except OSError:
+        pass
+    return None
+
+
 @lru_cache(maxsize=2)
 def tagger(path: str | None = None) -> Tagger:
     """The network of a file, or of the weights that come with this package, be it a folder or an archive."""
@@ -234,6 +251,7 @@ def masked(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    one_thread()
     for batch in batches:
         for at in range(0, batch.num_rows, 2500):
             part = batch.slice(at, 2500)
@@ -244,6 +262,7 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    one_thread()
     for batch in batches:
         for at in range(0, batch.num_rows, 2500):
             part = batch.slice(at, 2500)
