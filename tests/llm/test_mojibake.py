@@ -26,3 +26,14 @@ def test_meant_letters_and_replacements(spark):
 def test_japanese_bytes():
     text = "より、ザケユバコ"
     assert M.ungarble(M.from_euc(text)) == text
+
+
+def test_garbled_part_of_text_without_spaces(spark):
+    left, right = "星黒が友い赤塩人ぬ", "山白目南白牛の、新大糸音までは"
+    lossy = M.lossy("東京都に住む", "cp1252")
+    rows = [(1, left + M.garble(right, ("cp1252",))), (2, M.garble(right, ("latin-1",)) + left), (3, left + "「" + M.garble("ラス", ("cp1251",)) + "」した"), (4, left + right), (5, "「…」と“言う”Привет"), (6, "নঙугд")]
+    rows += [(7, left + lossy + "と"), (8, "「東京都に住む」")]
+    df = spark.createDataFrame([(*r, None) for r in rows], "record long, text string, raw string")
+    assert {r.record for r in M.affected(df).collect()} == {1, 2, 3, 7}
+    fixed = {r.record: (r.restored, r.complete) for r in M.restored(df).collect()}
+    assert fixed[1] == (left + right, True) and fixed[2] == (right + left, True) and fixed[3] == (left + "「ラス」した", True)

@@ -1,6 +1,7 @@
 """Text that was decoded with the wrong encoding: the affected records, and the original text where it can be had.
 
-Documents are cut into runs of ASCII letters and characters outside ASCII. Every legacy encoding in ``CHAINS`` maps bytes from 0x80 to
+Documents are cut into runs of ASCII letters and characters outside ASCII, and runs that mix characters a garbled run can be made of
+with others are cut once more where the two meet, as text without spaces may be garbled in part. Every legacy encoding in ``CHAINS`` maps bytes from 0x80 to
 characters outside ASCII and leaves the rest alone, so garbling a run gives a run: the garbled form of every distinct clean run
 of the corpus under each chain is generated, and hash-joined with the runs of the documents. A bitmap of fixed size over the
 hashes of suspicious runs drops generated forms that occur nowhere before they are shuffled. A match is verified by its equality and
@@ -29,6 +30,8 @@ from ..session import spread, written
 CODECS = ("latin-1", "cp1252", "cp1251", "cp1250", "mac_roman", "cp437", "cp850", "cp866", "koi8-r")
 CHAINS = tuple((codec,) for codec in CODECS) + (("latin-1", "latin-1"), ("cp1252", "cp1252"), ("cp1252", "latin-1"), ("latin-1", "cp1252"))
 RUN = "[A-Za-z\\x{80}-\\x{10ffff}]+"
+#: Ranges that hold no character of a garbled run.
+FAR = "\\x{500}-\\x{1fff}\\x{2600}-\\x{f8fe}\\x{10000}-\\x{10ffff}"
 REPLACEMENT = "�"
 #: Bits of the bitmap that is sent to all executors: 2 MB, whatever the size of the corpus.
 BITMAP_BITS = 1 << 24
@@ -118,8 +121,8 @@ def ungarble(run: str) -> str | None:
 
 
 def suspicious_run() -> Column:
-    """Whether a run can be a garbled form at all."""
-    return F.col("run").rlike("^" + garble_class() + "$") | F.col("run").contains(REPLACEMENT)
+    """Whether a run can be a garbled form at all; replacement characters are in the class too."""
+    return F.col("run").rlike("^" + garble_class() + "$")
 
 
 def _hashes(runs: list[str]) -> list[int]:
@@ -155,11 +158,16 @@ def _generated(bitmap: np.ndarray):
 
 
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(run, original) of suspicious runs that decode back; without an original where only a part is surely garbled."""
+    """(run, original) of suspicious runs that decode back; without an original where only a part is surely garbled.
+
+    A few letters inside a mixed run that happen to be the bytes of one character are letters.
+    """
     for batch in batches:
         rows = []
-        for r in batch.column(0).to_pylist():
+        for r, whole in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             original = ungarble(r)
+            if original is not None and not whole and len(original) == 1 and r.isalpha():
+                original = None
             if original is not None or REPLACEMENT in r or INSIDE.search(r):
                 rows.append((r, original))
         columns = list(zip(*rows)) or [[], []]
@@ -167,14 +175,22 @@ def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def runs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, run): the distinct runs with characters outside ASCII of each text."""
-    found = F.filter(F.array_distinct(F.regexp_extract_all(text_col, F.lit(RUN), F.lit(0))), lambda r: r.rlike("[^\\x00-\\x7f]"))
-    return spread(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias(text_col))).select("id", F.explode(found).alias("run"))
+    """(id, run, whole): the runs with characters outside ASCII of each text; of mixed runs also the stretches within and outside the garble class."""
+    beyond = lambda r: r.rlike("[^\\x00-\\x7f]")
+    mixed = lambda r: r.rlike(f"[^{FAR}]") & ~r.rlike("^" + garble_class() + "$")
+    stretches = F.lit(garble_class() + "|[^" + garble_class()[1:])
+    whole = F.filter(F.array_distinct(F.regexp_extract_all(text_col, F.lit(RUN), F.lit(0))), beyond)
+    cut = F.flatten(F.transform(F.filter(whole, mixed), lambda r: F.regexp_extract_all(r, stretches, F.lit(0))))
+    found = F.concat(
+        F.transform(whole, lambda r: F.struct(r.alias("run"), F.lit(True).alias("whole"))),
+        F.transform(F.array_distinct(F.filter(cut, beyond)), lambda r: F.struct(r.alias("run"), F.lit(False).alias("whole"))),
+    )
+    return spread(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias(text_col))).select("id", F.inline(found))
 
 
 def garbled_runs(df: DataFrame, id_col: str = "record", text_col: str = "text") -> DataFrame:
     """(run, original): the garbled runs of the corpus; original is null where it can't be told."""
-    distinct = written(runs(df, id_col, text_col).select("run").distinct())
+    distinct = written(runs(df, id_col, text_col).groupBy("run").agg(F.max("whole").alias("whole")))
     suspicious = distinct.where(suspicious_run())
     slots = suspicious.mapInArrow(_slots, "slot long")
     bits = slots.groupBy(F.expr("bitmap_bucket_number(slot + 1)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot + 1))").alias("bits"))
@@ -192,12 +208,12 @@ def garbled_runs(df: DataFrame, id_col: str = "record", text_col: str = "text")
 def affected(df: DataFrame, id_col: str = "record", text_col: str = "text") -> DataFrame:
     """(id): the rows whose text holds a garbled run or a replacement character."""
     bad = garbled_runs(df, id_col, text_col)
-    there = runs(df, id_col, text_col).where(suspicious_run())
+    there = runs(df, id_col, text_col).select("id", "run").where(suspicious_run())
     return there.join(bad, "run", "left_semi").select(F.col("id").alias(id_col)).distinct()
 
 
 def _rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pattern = re.compile("[A-Za-z\x80-\U0010ffff]+")
+    pattern = re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: re.escape(chr(int(m[1], 16))), garble_class()))
     for batch in batches:
         out = []
         for text, pairs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
