@@ -1,3 +1,5 @@
+import json
+
 import pytest
 
 from textloom.llm import mojibake as M
@@ -37,3 +39,16 @@ def test_garbled_part_of_text_without_spaces(spark):
     assert {r.record for r in M.affected(df).collect()} == {1, 2, 3, 7}
     fixed = {r.record: (r.restored, r.complete) for r in M.restored(df).collect()}
     assert fixed[1] == (left + right, True) and fixed[2] == (right + left, True) and fixed[3] == (left + "「ラス」した", True)
+
+
+def test_originals_in_raw(spark):
+    whole, lost = "ভাষার বাক্য ও অন্য", "ভাষ\ufffdর বাক্য ও অন\ufffdয"
+    line = lambda text, field="body": json.dumps({"id": 1, field: text, "text": "aside"})
+    rows = [(1, "j", lost, line(whole)), (2, "j", lost, line(lost)), (3, "j", lost, "{" + line(whole)), (4, "j", lost, line(whole, "other")), (5, "t", "{" + lost, "{" + whole)]
+    rows += [(6, "t", lost, "x " + M.garble("তামিল", ("cp1252",)) + " �"), (7, "t", lost, "কথা " + M.garble("নদীর", ("cp1252",))), (8, "t", whole, whole), (9, "j", lost, None)]
+    df = spark.createDataFrame(rows, "record long, input_path string, text string, raw string")
+    inputs = spark.createDataFrame([("j", "jsonl", "body"), ("t", "txt", None)], "input_path string, input_format string, text_field string")
+    got = {r.record: (r.restored, r.complete) for r in M.restored(df, inputs=inputs).collect()}
+    assert got == {1: (whole, True), 5: ("{" + whole, True)} | {k: (lost, False) for k in (2, 3, 4, 6, 7, 9)}
+    plain = {r.record: r.complete for r in M.restored(df).collect()}
+    assert not plain[1] and not plain[7]

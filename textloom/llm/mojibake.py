@@ -14,6 +14,7 @@ are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -222,15 +223,51 @@ def _rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["id", "text"])
 
 
-def restored(df: DataFrame, id_col: str = "record", text_col: str = "text", raw_col: str = "raw") -> DataFrame:
+def _sources(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, source): the text as ``raw`` has it, where it differs from the text that was read."""
+    for batch in batches:
+        rows = []
+        for at, text, raw, kind, field in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            source = raw
+            if raw and (kind == "jsonl" or kind is None and raw.startswith("{")):
+                try:
+                    found = json.loads(raw)
+                    source = found.get(field) if isinstance(found, dict) else None
+                    if isinstance(source, str):
+                        source.encode()
+                except (ValueError, RecursionError):  # not JSON, or lone surrogates
+                    source = None
+            elif kind not in (None, "txt"):
+                source = None
+            if isinstance(source, str) and source and text and source != text:
+                rows.append((at, source))
+        columns = list(zip(*rows)) or [[], []]
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string())], names=["id", "source"])
+
+
+def sources(df: DataFrame, inputs: DataFrame | None, id_col: str, text_col: str, raw_col: str) -> DataFrame:
+    """(id, source): the original that ``raw`` holds, of a JSON line the ``text_field`` of its input. Without ``inputs`` JSON lines have none."""
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(raw_col).alias("raw"), *["input_path"] * (inputs is not None))
+    if inputs is None:
+        rows = rows.withColumns({"input_format": F.lit(None).cast("string"), "text_field": F.lit(None).cast("string")})
+    else:
+        rows = spread(rows).join(inputs.groupBy("input_path").agg(F.first("input_format").alias("input_format"), F.first("text_field").alias("text_field")), "input_path", "left")
+    return rows.select("id", "text", "raw", "input_format", "text_field").mapInArrow(_sources, "id long, source string")
+
+
+def restored(df: DataFrame, id_col: str = "record", text_col: str = "text", raw_col: str = "raw", inputs: DataFrame | None = None) -> DataFrame:
     """(id, restored, complete): affected rows with the verified originals put in place of garbled runs.
 
-    Where a plain-text ``raw`` has no suspicious runs left, it is the original text. ``complete``: nothing garbled is left.
+    Where ``raw`` holds another text without garbled runs, that is the original text; of JSON lines, with ``inputs`` (input_path, input_format,
+    text_field), the text field. ``complete``: nothing garbled is left.
     """
-    bad = written(garbled_runs(df, id_col, text_col))
-    hits = runs(df, id_col, text_col).where(suspicious_run()).join(bad, "run")
+    held = written(sources(df, inputs, id_col, text_col, raw_col))
+    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    bad = written(garbled_runs(texts.unionByName(held.select("id", F.col("source").alias("text"))), "id", "text"))
+    hits = runs(df, id_col, text_col).select("id", "run").where(suspicious_run()).join(bad, "run")
     per_row = hits.groupBy("id").agg(F.collect_list(F.when(F.col("original").isNotNull(), F.struct("run", "original"))).alias("pairs"), F.max(F.col("original").isNull()).alias("lost"))
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(raw_col).alias("raw")).join(per_row, "id")
+    rows = texts.join(per_row, "id")
     fixed = rows.select("id", "text", "pairs").mapInArrow(_rebuilt, "id long, text string").withColumnRenamed("text", "by_runs")
-    whole = F.col("raw").isNotNull() & ~F.col("raw").startswith("{") & (F.col("raw") != F.col("text")) & ~F.col("raw").contains(REPLACEMENT)
-    return rows.join(fixed, "id").select(F.col("id").alias(id_col), F.when(F.col("lost") & whole, F.col("raw")).otherwise(F.col("by_runs")).alias("restored"), (~F.col("lost") | whole).alias("complete"))
+    dirty = runs(held, "id", "source").select("id", "run").where(suspicious_run()).join(bad, "run", "left_semi").select("id").distinct()
+    whole = held.join(dirty, "id", "left_anti")
+    return rows.join(fixed, "id").join(whole, "id", "left").select(F.col("id").alias(id_col), F.coalesce("source", "by_runs").alias("restored"), (~F.col("lost") | F.col("source").isNotNull()).alias("complete"))

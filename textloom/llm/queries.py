@@ -51,7 +51,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mojibake.restored(table(spark, sf_dir, "records"))
+    return mojibake.restored(table(spark, sf_dir, "records"), inputs=table(spark, sf_dir, "inputs"))
 
 
 @query
