@@ -43,3 +43,31 @@ def test_statistics_and_wrong_values(spark):
         want.add((1, "wrong_value"))
     assert got == want
     assert Q.kinds(records.limit(0), common, findings).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text,kind",
+    [
+        ("buy cheap watches now\n" * 10, None),
+        ("buy cheap watches now; " * 10, None),
+        ("".join(f"{k}. buy cheap watches now\n" for k in range(1, 11)), None),
+        ("home | news | contact\n" * 8, None),
+        ("new hats in\nred and blue\ngreen coal\nsalt\nhoney and wax\na steep road\nsalt", "list"),
+        ("12,13,14\n" * 6 + "15,16,17", "table"),
+        ("salt | yes | no\ncoal | yes | no\nhoney | yes | no\nwax | yes | no", "table"),
+    ],
+)
+def test_boilerplate_is_no_list(spark, text, kind):
+    assert Q.kind_of(text) == kind
+    records, common = spark.createDataFrame([(1, text)], "record long, text string"), spark.createDataFrame([("en", "the")], "lang string, word string")
+    findings = spark.createDataFrame([], "record long, code string, value double")
+    assert [r.kind for r in Q.kinds(records, common, findings).collect()] == [kind] * (kind is not None)
+
+
+def test_common_words_in_broken_lines_are_prose():
+    lines = ["the man in the", "boat of the", "old and the", "river to the sea", "and the rain of", "the hill in the"]
+    text = "\n".join(lines)
+    of = lambda common: Q.shares(text, Q.words(text), lines, common)
+    assert Q.kind_of(text, of({"the", "of", "and", "to", "in"})) is None and Q.kind_of(text, of(())) == "list"
+    bullets = "- the man in the\n- boat of the\n- old and the river"
+    assert Q.kind_of(bullets, Q.shares(bullets, Q.words(bullets), Q.lines_of(bullets), {"the", "of", "and", "in"})) == "list"

@@ -2,7 +2,9 @@
 
 Besides words, symbols, punctuation and common words, repetition is measured: shares of duplicate lines and paragraphs and the share of characters that
 the most frequent sequences of two to four words cover. Combined rules tell the kinds apart; a kind needs evidence of its own
-form (items, rows of like cells, no words), never only the absence of prose, and repetition alone is no evidence.
+form (items, rows of like cells, no words), never only the absence of prose, and repetition alone is no evidence. Repetition speaks
+against a kind: boilerplate whose lines, rows or items are mostly copies of one another is neither list nor table. Common words speak
+for prose: pieces of which many are common are neither junk nor, without bullets, a list.
 
 Defined cases: a null text has null statistics and no kind; an empty one has counts of zero and null ratios; a text under 40 characters has no kind; measurements
 with a null value are ignored, exact copies count once; extra columns are ignored.
@@ -13,9 +15,10 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from functools import lru_cache
 from statistics import median
+from typing import NamedTuple
 
 import pyarrow as pa
 import regex
@@ -28,6 +31,8 @@ from .mojibake import INSIDE, REPLACEMENT, garble_class, ungarble
 
 MIN_CHARS = 40
 TOLERANCE = 0.01
+#: Share of copies beyond which items or rows are boilerplate, and of common words beyond which pieces are read as words.
+COPIED, READABLE = 0.5, 0.3
 MEASURED = ("word_count", "mean_word_length", "symbol_ratio")
 #: Marks that end a sentence, marks that begin an item.
 ENDS = ".?!।॥。！？…"
@@ -45,6 +50,7 @@ HIGH = regex.compile(r"[A-Za-z\x80-\U0010ffff]+")
 CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
 GARBLE = re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: re.escape(chr(int(m[1], 16))), garble_class()))
 END = regex.compile(rf"[{ENDS}][{regex.escape(CLOSERS)}]*(?=\s|$)")
+ITEM_ENDS, ROW_ENDS = regex.compile(r"[\n;；,、，/|•·・]"), regex.compile(r"\n|\|\||;|\s//?\s")
 DELIMITERS = ("|\t", ";", ",", "  ")
 
 
@@ -216,8 +222,41 @@ def is_strange(piece: str) -> bool:
     return not LETTER.search(bare)
 
 
-def kind_of(text: str | None) -> str | None:
-    """``list``, ``table``, ``junk`` or None."""
+class Shares(NamedTuple):
+    """What of a text is common words or repeated."""
+
+    common_words: float | None
+    duplicate_lines: float
+    duplicate_paragraphs: float
+    dominant_ngram: float
+
+
+def shares(text: str, found: list[str], lines: list[str], common: Collection[str]) -> Shares:
+    """The shares of a text with the words ``found`` and these lines."""
+    return Shares(
+        sum(w in common for w in found) / len(found) if found else None,
+        repeated_share(lines),
+        repeated_share([p.strip() for p in regex.split(r"\n\s*\n", text) if p.strip()]),
+        dominant_share(found),
+    )
+
+
+def lines_of(text: str) -> list[str]:
+    return [line.strip() for line in text.split("\n") if line.strip()]
+
+
+def is_copied(text: str, of: Shares, ends: regex.Pattern) -> bool:
+    """Whether words in copies make up most of a text: of its lines, its paragraphs or the parts up to ``ends``, without their bullets."""
+    if len(LETTER.findall(text)) < 0.5 * len(NOT_SPACE.findall(text)):
+        return False
+    if max(of.duplicate_lines, of.duplicate_paragraphs) > COPIED:
+        return True
+    parts = [part.strip() for piece in ends.split(text) for part in INLINE_ITEM.split(piece)]
+    return repeated_share([part for part in parts if part]) > COPIED
+
+
+def kind_of(text: str | None, of: Shares | None = None) -> str | None:
+    """``list``, ``table``, ``junk`` or None; ``of`` are the shares of the text, if known."""
     if text is None or len(text) < MIN_CHARS or is_plain(text) or is_garbled(text):
         return None
     if is_noise(text):
@@ -227,11 +266,16 @@ def kind_of(text: str | None) -> str | None:
         return None
     pieces = text.split()
     enough = sentences(text) >= 3 and sum(map(ends_sentence, pieces)) * 25 >= len(pieces)
+    of = of or shares(text, words(text), lines_of(text), ())
     if is_list(text) and not (enough and not any(ITEM.match(x) for x in text.split("\n"))):
-        return "list" if not is_table_like(text) else "table"
-    if is_table(text) and not enough:
+        if is_table_like(text) and not is_copied(text, of, ROW_ENDS):
+            return "table"
+        prose = (of.common_words or 0) > READABLE and not INLINE_ITEM.search(text)
+        if not prose and of.dominant_ngram <= COPIED and not is_copied(text, of, ITEM_ENDS):
+            return "list"
+    elif is_table(text) and not enough and not is_copied(text, of, ROW_ENDS):
         return "table"
-    return "junk" if is_junk(text) else None
+    return "junk" if is_junk(text) and (of.common_words or 0) <= READABLE else None
 
 
 def is_table_like(text: str) -> bool:
@@ -279,35 +323,26 @@ STATISTICS = pa.schema(
 SCHEMA = "id long, word_count long, mean_word_length double, symbol_ratio double, punctuated_lines double, common_words double, duplicate_lines double, duplicate_paragraphs double, dominant_ngram double, median_line double, kind string"
 
 
-def _statistics(common: set[str], brief: bool):
+def _statistics(common: set[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for at, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if text is None:
                     rows.append((at, *[None] * 10))
-                elif brief:
-                    rows.append((at, *measured(text), *[None] * 6, kind_of(text)))
                 else:
-                    found = words(text)
-                    lines = [line.strip() for line in text.split("\n") if line.strip()]
-                    rest = (
-                        sum(map(ends_sentence, lines)) / len(lines) if lines else None,
-                        sum(w in common for w in found) / len(found) if found else None,
-                        repeated_share(lines),
-                        repeated_share([p.strip() for p in regex.split(r"\n\s*\n", text) if p.strip()]),
-                        dominant_share(found),
-                        float(median(map(len, lines))) if lines else None,
-                    )
-                    rows.append((at, *measured(text), *rest, kind_of(text)))
+                    lines = lines_of(text)
+                    of = shares(text, words(text), lines, common)
+                    punctuated = sum(map(ends_sentence, lines)) / len(lines) if lines else None
+                    rows.append((at, *measured(text), punctuated, *of, float(median(map(len, lines))) if lines else None, kind_of(text, of)))
             columns = list(zip(*rows)) or [[]] * len(STATISTICS)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, STATISTICS)], schema=STATISTICS)
 
     return run
 
 
-def statistics(df: DataFrame, common_words: DataFrame, id_col: str = "record", text_col: str = "text", brief: bool = False) -> DataFrame:
-    """One row of statistics for each text; ``brief`` leaves out those that neither the kind nor earlier measurements need.
+def statistics(df: DataFrame, common_words: DataFrame, id_col: str = "record", text_col: str = "text") -> DataFrame:
+    """One row of statistics for each text.
 
     ``common_words`` must be a word list of fixed size: it is sent with the function; more than 100,000 words are refused.
     """
@@ -315,7 +350,7 @@ def statistics(df: DataFrame, common_words: DataFrame, id_col: str = "record", t
     if len(common) > 100_000:
         raise ValueError("common_words must hold at most 100,000 words")
     rows = spread(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
-    return rows.mapInArrow(_statistics(common, brief), SCHEMA)
+    return rows.mapInArrow(_statistics(common), SCHEMA)
 
 
 def kinds(df: DataFrame, common_words: DataFrame, findings: DataFrame, id_col: str = "record", text_col: str = "text") -> DataFrame:
@@ -323,7 +358,7 @@ def kinds(df: DataFrame, common_words: DataFrame, findings: DataFrame, id_col: s
 
     Findings are reduced to the extremes of each record and code before they are joined: a value is off if one of the two is.
     """
-    stats = statistics(df, common_words, id_col, text_col, brief=True)
+    stats = statistics(df, common_words, id_col, text_col)
     extremes = findings.where(F.col("code").isin(*MEASURED) & F.col("value").isNotNull()).groupBy("record", "code").agg(F.min("value").alias("low"), F.max("value").alias("high"))
     wide = extremes.groupBy("record").pivot("code", list(MEASURED)).agg(F.struct(F.min("low").alias("low"), F.max("high").alias("high")))
     joined = stats.join(wide.select(F.col("record").alias("id"), *(F.col(code).alias(f"{code}_found") for code in MEASURED)), "id", "left")
