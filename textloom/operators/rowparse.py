@@ -1,7 +1,8 @@
 """Rows that fail to parse: typed rows, and the rest with the reason.
 
-Lines are first put together into records (a quoted cell may hold line breaks), each record is read by Python's strict csv reader or
-as JSON, structural failures are caught before any typed value is made, and only then the values are constructed. Everything happens
+Each raw is one record: rows come with their lines put together (a quoted cell may hold line breaks), and a quoted cell that its raw
+doesn't close is ``broken``, so ``parsed`` never joins rows. ``assemble`` is for callers who have the bare lines of a csv file. A
+record is read by Python's strict csv reader or as JSON, structural failures are caught before any typed value is made, and only then the values are constructed. Everything happens
 within a partition: loading needs no shuffle. The specifications of the inputs are joined by ``input_path``.
 
 Reasons, the first that holds: ``broken``, ``wrong_shape``, ``bad_value``. Defined cases: a null raw line is ``broken``; a row whose
