@@ -1,6 +1,6 @@
 import random
 
-from textloom.functions.pieces import content, words
+from textloom.llm.pieces import content, words
 from textloom.llm import content as C
 
 LONG = "The quiet river bends around the old mill"

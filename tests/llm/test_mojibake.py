@@ -25,9 +25,33 @@ def test_meant_letters_and_replacements(spark):
     assert M.affected(df.limit(0)).count() == 0
 
 
-def test_japanese_bytes():
-    text = "より、ザケユバコ"
-    assert M.ungarble(M.from_euc(text)) == text
+def test_japanese_bytes(spark):
+    clean = ["より、ザケユバコ", "東京のまちをあるく", "山へいく"]
+    euc = clean[0].encode("euc_jp").decode("latin-1")
+    shift = "".join(map(M.charset("cp1252").__getitem__, clean[1].encode("shift_jis")))
+    rows = [*enumerate(clean), (11, f"12 {euc}"), (12, shift), (13, f"12 {M.charset('cp1252')[0x82]} 3 ƒ 4"), (14, "a ƒunction ‚so‘")]
+    df = spark.createDataFrame([(k, t, None) for k, t in rows], "record long, text string, raw string")
+    assert {r.record: (r.restored, r.complete) for r in M.restored(df).collect()} == {11: (f"12 {clean[0]}", True), 12: (clean[1], True)}
+
+
+@pytest.mark.parametrize("word,page,read", [("Хорошее", "cp1251", "latin-1"), ("привет", "koi8-r", "latin-1"), ("café", "cp1252", "cp1251"), ("naïve", "mac_roman", "cp1252"), ("Ελληνικά", "iso8859-7", "cp1252")])
+def test_legacy_bytes_in_another_encoding(spark, word, page, read):
+    form = "".join(map(M.charset(read).__getitem__, word.encode(page)))
+    df = spark.createDataFrame([(1, f"the word {word} here", None), (2, f"the word {form} here", None)], "record long, text string, raw string")
+    assert [(r.record, r.restored, r.complete) for r in M.restored(df).collect()] == [(2, f"the word {word} here", True)]
+
+
+def test_words_explain_before_characters(spark):
+    word, once = "নদীর", "ভাষার"
+    rows = [(1, word), (2, M.garble(word, ("cp1252",))), (3, M.garble(once, ("cp1252",))), (4, f"{once[:3]} {once[3:]}")]
+    df = spark.createDataFrame(rows, "record long, text string")
+    got = {r.run: (r.original, r.by) for r in M.garbled_runs(df).collect()}
+    assert got == {rows[1][1]: (word, "words"), rows[2][1]: (once, "characters")}
+
+
+def test_sequences_of_unknown_characters_are_no_evidence(spark):
+    df = spark.createDataFrame([(1, "Рівне і Київ"), (2, "Ãl Âge")], "record long, text string")
+    assert M.affected(df).count() == 0
 
 
 def test_garbled_part_of_text_without_spaces(spark):

@@ -1,7 +1,7 @@
 import itertools
 import random
 
-from textloom.functions.pieces import content, words
+from textloom.llm.pieces import content, words
 from textloom.llm import near
 
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.pieces import INNER, content
+from .pieces import INNER, content
 from ..session import spread, written
 
 MIN_LENGTH = 20

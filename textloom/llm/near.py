@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.pieces import content, words
+from .pieces import content, words
 from ..session import spread, written
 from .pairs import expand
 

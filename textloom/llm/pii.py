@@ -36,6 +36,8 @@ WEIGHTS = Path(__file__).with_name("pii_weights.npz")
 VOCABULARY, WINDOW, OVERLAP, BATCH = 4096, 240, 40, 512
 CODE_POINTS = 0x20000
 TOUCHING = regex.compile(r"[\p{L}\p{M}\p{Nd}]")
+#: Characters over which a span of these kinds goes on in both directions.
+JOINED = {"email": regex.compile(r"[A-Za-z0-9._%+@＠-]"), "phone": regex.compile(r"[\p{Nd}+()-]")}
 
 
 @lru_cache(maxsize=1)
@@ -203,7 +205,7 @@ def fits(kind: str, span: str) -> bool:
     if kind == "id_number":
         return 6 <= digits <= 20 and letters <= 4
     if kind == "address":
-        return digits >= 1 and letters >= 3 and ", " in span.replace("\n", " ")
+        return digits >= 1 and letters >= 3 and words >= 2
     return letters >= 3 and digits == 0 and 2 <= words <= 4
 
 
@@ -223,6 +225,11 @@ def spans_of(text: str, labels: np.ndarray, starts: np.ndarray) -> list[tuple[in
             low -= 1
         while high < len(text) and TOUCHING.match(text[high - 1]) and TOUCHING.match(text[high]):
             high += 1
+        if joined := JOINED.get(kind):
+            while low > (found[-1][1] if found else 0) and joined.match(text[low - 1]) and joined.match(text[low]):
+                low -= 1
+            while high < len(text) and joined.match(text[high - 1]) and joined.match(text[high]):
+                high += 1
         while low < high and text[low].isspace():
             low += 1
         while high > low and (text[high - 1].isspace() or text[high - 1] in ".,;:।"):

@@ -1,38 +1,161 @@
-"""Training of the recognizer of personal data, in numpy: ``python -m textloom.llm.pii_train RECORDS.parquet NAMES.parquet SECONDS OUT.npz``.
+"""Training of the recognizer of personal data, in numpy: ``python -m textloom.llm.pii_train RECORDS.parquet NAMES.parquet SECONDS OUT.npz [START.npz]``.
 
-Backpropagation through time of the bidirectional LSTM, with the CRF's log-likelihood as objective, over windows of at most ``MAX_TEXTS`` texts
-(the documented bound of the labelled sample). A twentieth of the texts is held out; the share of its spans found again is printed.
+Backpropagation through time of the bidirectional LSTM, with the CRF's log-likelihood as objective. Half of the windows come from at most ``MAX_TEXTS``
+real texts (the documented bound of the labelled sample), whose labelled spans are mostly replaced by invented ones of the same kind; the other
+half are invented sentences set between real ones, or invented pieces between the words of prose. Processes share the work: each computes the gradient of its own batch, and one step follows their mean. A
+twentieth of the texts and a fifth of the sentences are held out; recall and precision on both are printed.
 """
 
 from __future__ import annotations
 
+import multiprocessing
+import os
+import random
 import sys
 import time
 
 import numpy as np
+import regex
 
-from .pii import KINDS, OVERLAP, VOCABULARY, WEIGHTS, WINDOW, Tagger, characters, windows
-from .pii_labels import spans
+from .pii import KINDS, WEIGHTS, VOCABULARY, Tagger, characters, spans_of, windows
+from .pii_labels import doubtful, spans
+from .pii_synth import Inventor
 
-MAX_TEXTS, EMBEDDING, HALF, BATCH, RATE, SEED = 120_000, 24, 32, 96, 4e-3, 1
+MAX_TEXTS, EMBEDDING, HALF, BATCH, RATE, SEED = 120_000, 32, 48, 64, 6e-3, 1
 LABELS = 1 + len(KINDS)
-
-
-def examples(texts: list[str], given: set[str], family: set[str], rng: np.random.Generator) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Windows (rows of the input table, labels); of windows without any label a fifth is kept."""
-    out = []
-    for text in texts:
-        ids, starts = characters(text)
-        labels = np.zeros(len(ids), np.uint8)
-        for low, high, kind in spans(text, given, family):
-            labels[np.searchsorted(starts, low, "right") - 1 : np.searchsorted(starts, high)] = kind + 1
-        for a, b in windows(len(ids)):
-            if labels[a:b].any() or rng.random() < 0.2:
-                out.append((ids[a:b], labels[a:b]))
+#: Share of labelled spans of real texts that invented ones replace, and batches that are drawn at once.
+REPLACED, POOL = 0.6, 24
+SCRIPTS = (("bn", regex.compile(r"\p{Bengali}")), ("ta", regex.compile(r"\p{Tamil}")), ("ne", regex.compile(r"(?:छ|थियो|गर्नुहोस्)")), ("hi", regex.compile(r"\p{Devanagari}")), ("ja", regex.compile(r"[\p{Hiragana}\p{Katakana}]")), ("lus", regex.compile("[âîûṭ]")))
+Example = tuple[np.ndarray, np.ndarray]
+Spans = list[tuple[int, int, int]]
+
+
+def language(text: str) -> str:
+    return next((lang for lang, pattern in SCRIPTS if pattern.search(text)), "en")
+
+
+def cut(text: str, found: Spans, out: list[Example], at: int | None = None, bad: list[tuple[int, int]] = []) -> None:
+    """The windows of a labelled text: all, or the one that begins at ``at``; none with a doubtful place."""
+    ids, starts = characters(text)
+    labels = np.zeros(len(ids), np.uint8)
+    for low, high, kind in found:
+        labels[np.searchsorted(starts, low, "right") - 1 : np.searchsorted(starts, high)] = kind + 1
+    for low, high in bad:
+        labels[np.searchsorted(starts, low, "right") - 1 : np.searchsorted(starts, high)] = 255
+    for a, b in windows(len(ids)) if at is None else [(at, min(len(ids), at + 240))]:
+        if b > a and not (labels[a:b] == 255).any():
+            out.append((ids[a:b], labels[a:b]))
+
+
+def swapped(text: str, found: Spans, invent: Inventor) -> tuple[str, Spans]:
+    """A real text with most of its spans replaced by invented ones of their kind."""
+    out, made, at, lang = "", [], 0, language(text)
+    for low, high, kind in found:
+        new = text[low:high]
+        if kind != 2 and invent.rng.random() < (0.9 if kind == 4 else REPLACED):  # numbers of papers keep the form that their cue asks for
+            of = lang if kind != 4 or not new.isascii() else "en"
+            new = invent.fill(KINDS[kind], of)[0]
+        out += text[at:low]
+        made.append((len(out), len(out) + len(new), kind))
+        out, at = out + new, high
+    return out + text[at:], made
+
+
+def between(text: str, known: Spans, invent: Inventor, from_held: bool = False) -> tuple[str, Spans]:
+    """One to three invented sentences set between the lines or sentences of a real text."""
+    rng, lang = invent.rng, language(text)
+    places = [0, *(m.end() for m in regex.finditer(r"[.!?।॥。]\s|\n", text) if not any(a < m.end() < b for a, b, _ in known)), len(text)]
+    spot = rng.choice(places)
+    made, inner = "", []
+    for _ in range(rng.choice((1, 1, 2, 3))):
+        sentence, found, _ = invent.sentence(lang if rng.random() < 0.6 else "en" if rng.random() < 0.6 else None, from_held)
+        made += rng.choice((" ", " ", "\n")) if made else ""
+        inner += [(len(made) + a, len(made) + b, k) for a, b, k in found]
+        made += sentence
+    before, after = text[:spot], text[spot:]
+    before += " " if before and not before[-1].isspace() else ""
+    after = (rng.choice((" ", " ", "\n")) + after) if after else ""
+    out = before + made + after
+    shift = len(before) + len(made) + len(after) - len(text[spot:]) - spot
+    return out, sorted([s for s in known if s[1] <= spot] + [(a + shift, b + shift, k) for a, b, k in known if a >= spot] + [(len(before) + a, len(before) + b, k) for a, b, k in inner])
+
+
+def within(text: str, known: Spans, invent: Inventor) -> tuple[str, Spans]:
+    """A few pieces of personal data, or of what resembles it, set between the words of English prose."""
+    rng = invent.rng
+    places = [m.start() for m in regex.finditer(r"(?<=\S) (?=\S)", text) if not any(a <= m.start() <= b for a, b, _ in known)]
+    out, found, at = "", [], 0
+    cuts = sorted(rng.sample(places, min(len(places), rng.choice((1, 2, 3, 4)))))
+    for spot in [*cuts, len(text)]:
+        found += [(a - at + len(out), b - at + len(out), k) for a, b, k in known if at <= a and b <= spot]
+        out += text[at:spot]
+        at = spot
+        if spot in cuts:
+            piece, spans_ = invent.phrase()
+            out += rng.choice((" ", " ", " ", ", ", "; ", ". "))
+            found += [(len(out) + a, len(out) + b, k) for a, b, k in spans_]
+            out += piece + rng.choice(("", "", "", ",", ".", ";"))
+    return out, sorted(found)
+
+
+def prose() -> list[str]:
+    """Paragraphs of English prose that come with Python."""
+    from pydoc_data.topics import topics
+
+    parts = (regex.sub(r"\s+", " ", regex.sub(r"[*`\"_]", "", part)).strip() for topic in topics.values() for part in topic.split("\n\n"))
+    return [part for part in parts if 80 < len(part) < 600 and len(regex.findall(r"[a-zA-Z ,.]", part)) > 0.95 * len(part)]
+
+
+def titled(text: str, known: Spans) -> str:
+    """The text with every word outside its spans in capitals at the beginning, as headlines have it."""
+    out, at = "", 0
+    for low, high, _ in [*known, (len(text), len(text), 0)]:
+        out += regex.sub(r"(?<![\p{L}\p{M}'])[a-z]", lambda m: m[0].upper(), text[at:low]) + text[low:high]
+        at = high
     return out
 
 
-def initial(rng: np.random.Generator) -> dict[str, np.ndarray]:
+def drawn(texts: list[str], named: list[str], given: set[str], family: set[str], invent: Inventor, size: int) -> list[list[Example]]:
+    """Batches of windows of like lengths."""
+    out: list[Example] = []
+    rng, plain = invent.rng, prose()
+    while len(out) < size * BATCH:
+        text = rng.choice(texts)
+        if len(text) > 1200:
+            start = rng.randrange(len(text) - 1000)
+            text = text[start : start + 1000]
+        known = spans(text, given, family)
+        way = rng.random()
+        if way < 0.3 and language(text) in ("en", "lus") or way < 0.12:
+            if way < 0.08:
+                text, known = rng.choice(plain), []
+            if language(text) in ("en", "lus"):
+                text, all_ = within(text, known, invent)
+                cut(text, all_, out, bad=[x for x in doubtful(text, all_) if rng.random() < 0.3] if known else [])
+        elif way < 0.55:
+            if way < 0.3 and named:
+                text = rng.choice(named)
+                known = spans(text, given, family)
+            if known or rng.random() < 0.3:
+                text, known = swapped(text, known, invent)
+                headline = language(text) in ("en", "lus") and rng.random() < 0.1
+                bad = [] if headline else doubtful(text, known)
+                cut(titled(text, known) if headline else text, known, out, bad=bad)
+        else:
+            text, all_ = between(text, known, invent)
+            first = min((a for a, *_ in all_), default=0)
+            cut(text, all_, out, max(0, len(characters(text[:first])[0]) - rng.randrange(150)) if first else 0, [x for x in doubtful(text, all_) if rng.random() < 0.5])
+    out.sort(key=lambda x: len(x[0]))
+    batches = [out[k : k + BATCH] for k in range(0, len(out) - BATCH + 1, BATCH)]
+    rng.shuffle(batches)
+    return batches
+
+
+def initial(rng: np.random.Generator, start: str | None = None) -> dict[str, np.ndarray]:
+    """Random weights, or those of a file to go on from."""
+    if start:
+        with np.load(start) as stored:
+            return {name: stored[name].astype(np.float32) for name in stored.files}
     w = {"emb": rng.normal(0, 0.3, (VOCABULARY, EMBEDDING)), "wo": rng.normal(0, 0.2, (2 * HALF, LABELS)), "bo": np.zeros(LABELS), "trans": np.eye(LABELS)}
     for d in "fb":
         w["w" + d] = rng.normal(0, EMBEDDING**-0.5, (EMBEDDING, 4 * HALF))
@@ -143,33 +266,57 @@ def step(w: dict[str, np.ndarray], batch: list[tuple[np.ndarray, np.ndarray]]) -
     return loss / size, g
 
 
-def train(data: list[tuple[np.ndarray, np.ndarray]], seconds: float, rng: np.random.Generator, save) -> dict[str, np.ndarray]:
-    w = initial(rng)
+def worker(pipe, seed: int, texts: list[str], given: set[str], family: set[str], names: dict[str, list[str]], places: dict[str, list[str]]) -> None:
+    """Answer each set of weights with (loss, gradient) of a batch of its own."""
+    invent = Inventor(random.Random(seed), names, places)
+    batches: list[list[Example]] = []
+    named = [t for t in invent.rng.sample(texts, min(len(texts), 15_000)) if any(k == 4 for *_, k in spans(t, given, family))]
+    while (w := pipe.recv()) is not None:
+        batches = batches or drawn(texts, named, given, family, invent, POOL)
+        pipe.send(step(w, batches.pop()))
+
+
+def train(pipes: list, seconds: float, w: dict[str, np.ndarray], rate_of: float, save) -> dict[str, np.ndarray]:
     m, v = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
     began, t, losses = time.time(), 0, []
-    order: list[list[int]] = []
     while (gone := (time.time() - began) / seconds) < 1:
-        if not order:
-            by_length = sorted(rng.permutation(len(data)), key=lambda k: len(data[k][0]) // 12)
-            order = [by_length[k : k + BATCH] for k in range(0, len(data), BATCH)]
-            rng.shuffle(order)
-        loss, g = step(w, [data[k] for k in order.pop()])
+        for pipe in pipes:
+            pipe.send(w)
+        answers = [pipe.recv() for pipe in pipes]
         t += 1
-        losses.append(loss)
+        losses.append(np.mean([loss for loss, _ in answers]))
+        g = {k: sum(one[k] for _, one in answers) / len(answers) for k in w}
         norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
-        rate = RATE * min(1.0, t / 50) * (0.03 + 0.97 * 0.5 * (1 + np.cos(np.pi * gone)))
+        rate = rate_of * min(1.0, t / 50) * (0.03 + 0.97 * 0.5 * (1 + np.cos(np.pi * gone)))
         for k in w:
             x = g[k] * min(1.0, 1.0 / (norm + 1e-9))
             m[k] += 0.1 * (x - m[k])
             v[k] += 0.01 * (x * x - v[k])
             w[k] -= (rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
-        if t % 200 == 0:
-            print(f"{t} steps, {gone:.0%}, loss {np.mean(losses[-200:]):.5f}", flush=True)
+        if t % 100 == 0:
+            print(f"{t} steps, {gone:.0%}, loss {np.mean(losses[-100:]):.5f}", flush=True)
             save(w)
+    for pipe in pipes:
+        pipe.send(None)
     return w
 
 
-def main(records: str, names: str, seconds: float, out: str = str(WEIGHTS)) -> None:
+def words_of(texts: list[str], rng: random.Random) -> dict[str, list[str]]:
+    """Words of each language, to name places with."""
+    out: dict[str, list[str]] = {}
+    for text in texts[:20_000]:
+        lang = language(text)
+        if lang in ("bn", "hi", "ne", "ta"):
+            out.setdefault(lang, []).extend(w for w in rng.sample(text.split(), min(3, len(text.split()))) if regex.fullmatch(r"[\p{L}\p{M}]{4,12}", w) and not w.isascii())
+    return out
+
+
+def held_sentences(texts: list[str], given: set[str], family: set[str], invent: Inventor, count: int) -> list[tuple[str, Spans]]:
+    """Held-out texts with held-out sentences between theirs."""
+    return [between(text, spans(text, given, family), invent, True) for text in invent.rng.choices([t for t in texts if len(t) < 1000], k=count)]
+
+
+def main(records: str, names: str, seconds: float, out: str = str(WEIGHTS), start: str | None = None, processes: int = os.cpu_count() or 1) -> None:
     import pyarrow.dataset as ds
     import pyarrow.parquet as pq
 
@@ -179,23 +326,31 @@ def main(records: str, names: str, seconds: float, out: str = str(WEIGHTS)) -> N
     texts = texts[:MAX_TEXTS]
     known = pq.read_table(names).to_pylist()
     given, family = ({row["name"] for row in known if row["kind"] == kind} for kind in ("given", "family"))
-    held = texts[: len(texts) // 20]
-    data = examples(texts[len(held) :], given, family, rng)
-    print(f"{len(data)} windows", flush=True)
+    by_lang: dict[str, list[str]] = {}
+    for row in known:
+        by_lang.setdefault(row["lang"], []).append(row["name"])
+    places = words_of(texts, random.Random(SEED))
+    held, texts = texts[: len(texts) // 20], texts[len(texts) // 20 :]
+    pipes = []
+    for k in range(processes):
+        mine, other = multiprocessing.Pipe()
+        multiprocessing.get_context("fork").Process(target=worker, args=(other, SEED + k, texts, given, family, by_lang, places), daemon=True).start()
+        pipes.append(mine)
     save = lambda w: np.savez_compressed(out, **{k: x.astype(np.float16) for k, x in w.items()})
-    w = train(data, seconds, rng, save)
+    w = train(pipes, seconds, initial(rng, start), RATE / 2 if start else RATE, save)
     save(w)
-    print(scores(Tagger({k: x.astype(np.float16).astype(np.float32) for k, x in w.items()}), held, given, family))
+    model = Tagger({k: x.astype(np.float16).astype(np.float32) for k, x in w.items()})
+    print("held-out texts", scores(model, [(t, spans(t, given, family)) for t in held[:4000]]))
+    made = held_sentences(held, given, family, Inventor(random.Random(SEED + 99), by_lang, places), 6000)
+    print("held-out sentences", recalls(model, made))
+    print("of English texts", recalls(model, [x for x in made if language(x[0]) in ("en", "lus")]))
 
 
-def scores(model: Tagger, texts: list[str], given: set[str], family: set[str]) -> dict[str, tuple[float, float, int]]:
+def scores(model: Tagger, labelled: list[tuple[str, Spans]]) -> dict[str, tuple[float, float, int]]:
     """By kind, over pairs of text and kind: (precision, recall, true pairs)."""
-    from .pii import spans_of
-
     hits = {kind: [0, 0, 0] for kind in KINDS}
-    for text, labelled in zip(texts, model.labels(texts)):
-        true = {KINDS[k] for *_, k in spans(text, given, family)}
-        found = {k for *_, k in spans_of(text, *labelled)}
+    for (text, known), got in zip(labelled, model.labels([t for t, _ in labelled])):
+        true, found = {KINDS[k] for *_, k in known}, {k for *_, k in spans_of(text, *got)}
         for kind in KINDS:
             hits[kind][0] += kind in true and kind in found
             hits[kind][1] += kind in found
@@ -203,5 +358,19 @@ def scores(model: Tagger, texts: list[str], given: set[str], family: set[str]) -
     return {kind: (round(a / max(1, b), 3), round(a / max(1, c), 3), c) for kind, (a, b, c) in hits.items()}
 
 
+def recalls(model: Tagger, labelled: list[tuple[str, Spans]]) -> dict[str, tuple[float, float, int]]:
+    """By kind, over spans: (share of found spans that meet a true one, share of true spans met by a found one, true spans)."""
+    hits = {kind: [0, 0, 0, 0] for kind in KINDS}
+    for (text, known), got in zip(labelled, model.labels([t for t, _ in labelled])):
+        found = spans_of(text, *got)
+        for a, b, k in known:
+            hits[KINDS[k]][1] += any(kind == KINDS[k] and a < high and low < b for low, high, kind in found)
+            hits[KINDS[k]][0] += 1
+        for low, high, kind in found:
+            hits[kind][3] += any(KINDS[k] == kind and a < high and low < b for a, b, k in known)
+            hits[kind][2] += 1
+    return {kind: (round(d / max(1, c), 3), round(b / max(1, a), 3), a) for kind, (a, b, c, d) in hits.items()}
+
+
 if __name__ == "__main__":
-    main(sys.argv[1], sys.argv[2], float(sys.argv[3]), *sys.argv[4:5])
+    main(sys.argv[1], sys.argv[2], float(sys.argv[3]), *sys.argv[4:6])

@@ -12,7 +12,6 @@ with a null value are ignored, exact copies count once; extra columns are ignore
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from collections import Counter
 from collections.abc import Collection, Iterator
@@ -25,9 +24,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.pieces import FIELD, words
+from .pieces import FIELD, words
 from ..session import spread
-from .mojibake import INSIDE, REPLACEMENT, garble_class, ungarble
+from .mojibake import REPLACEMENT, python_class, read_back
 
 MIN_CHARS = 40
 TOLERANCE = 0.01
@@ -48,12 +47,19 @@ LONG_RUN = regex.compile(r"(\S)\1{4,}")
 TAG = regex.compile(r"</?[a-zA-Z][^<>]*>|&[a-zA-Z]+;|&#\d+;")
 HIGH = regex.compile(r"[A-Za-z\x80-\U0010ffff]+")
 CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
-GARBLE = re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: re.escape(chr(int(m[1], 16))), garble_class()))
+GARBLE = python_class("+")
 END = regex.compile(rf"[{ENDS}][{regex.escape(CLOSERS)}]*(?=\s|$)")
 ITEM_ENDS, ROW_ENDS = regex.compile(r"[\n;；,、，/|•·・]"), regex.compile(r"\n|\|\||;|\s//?\s")
 DELIMITERS = ("|\t", ";", ",", "  ")
 
 
+class Letters:
+    """All characters that texts are written in."""
+
+    def __contains__(self, char: str) -> bool:
+        return unicodedata.category(char)[0] in "LMNPS"
+
+
 def is_garbled(text: str) -> bool:
     """Whether wrongly decoded characters make up a good part of a text."""
     if text.isascii():
@@ -61,7 +67,7 @@ def is_garbled(text: str) -> bool:
     if REPLACEMENT in text:
         return True
     runs = [run for run in HIGH.findall(text) if not run.isascii()]
-    return sum(1 for run in runs if INSIDE.search(run) or GARBLE.fullmatch(run) and ungarble(run) is not None) * 2 > len(runs)
+    return sum(1 for run in runs if GARBLE.fullmatch(run) and read_back(run, Letters())) * 2 > len(runs)
 
 
 def ends_sentence(piece: str) -> bool:
