@@ -48,3 +48,10 @@ def test_against_brute_force(spark):
 
 def test_words():
     assert words(" «Déjà» x² (12) — ½ 'কথা'। a-b ") == ["déjà", "x", "12", "কথা", "a-b"]
+
+
+def test_length_counts_in_canonical_form(spark):
+    short = "\u0958" * 12  # its composed form is excluded from composition: 24 letters and marks
+    rows = [(1, short), (2, "\u0915\u093c" * 12), (3, "\u0958" * 9)]
+    df = spark.createDataFrame(rows, "record long, text string")
+    assert [(r.first_record, r.record) for r in C.copies(df).collect()] == [(1, 2)]

@@ -23,3 +23,17 @@ def test_tokens():
     assert L.consistent("река Тавра") == "река Тавра" and L.consistent("μέτρο") == "μέτρο"  # real words keep their script
     assert L.consistent("ｶﾞｷﾞ") == "ガギ" and L.consistent("か゚") == "か゚" and L.consistent("👩‍👧") == "👩‍👧"
     assert L.consistent(L.consistent("Тhе ｃａｆé")) == L.consistent("Тhе ｃａｆé")
+
+
+def test_neighbours_choose_the_script():
+    assert L.consistent("это сор и оса") == L.consistent("это cop и oca") == "это сор и оса"
+    assert L.consistent("the сор ran") == L.consistent("the cop ran") == "the cop ran"
+    assert L.consistent("ꓐꓡOCK ᎪᏞL") == L.consistent("BLOCK AᏞL") and L.consistent("ж w оса") == L.consistent("ж w oca")
+
+
+def test_kana_and_han_that_look_alike(spark):
+    assert L.consistent("ロボット") == L.consistent("口ボット") == "ロボット" and L.consistent("人口が") == L.consistent("人ロが") == "人口が"
+    df = spark.createDataFrame([(1, "ロ口"), (2, "口口"), (3, "京へ"), (4, "京ヘ")], "doc_id long, text string")
+    forms = {r.doc_id: r.form for r in L.forms(df).collect()}
+    assert forms[1] == forms[2] and forms[3] == forms[4]
+    assert {(r.doc_a, r.doc_b) for r in L.same_looks(df).collect()} == {(1, 2), (3, 4)}

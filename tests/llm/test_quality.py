@@ -71,3 +71,11 @@ def test_common_words_in_broken_lines_are_prose():
     assert Q.kind_of(text, of({"the", "of", "and", "to", "in"})) is None and Q.kind_of(text, of(())) == "list"
     bullets = "- the man in the\n- boat of the\n- old and the river"
     assert Q.kind_of(bullets, Q.shares(bullets, Q.words(bullets), Q.lines_of(bullets), {"the", "of", "and", "in"})) == "list"
+
+
+def test_repetition_and_common_words_alone_change_the_kind():
+    text = "new hats in\nred and blue\ngreen coal\nsalt\nhoney and wax\na steep road\nfine wool"
+    plain = Q.Shares(0.1, 0.0, 0.0, 0.1)
+    assert Q.kind_of(text, plain) == "list"
+    for changed in ({"duplicate_lines": 0.6}, {"duplicate_paragraphs": 0.6}, {"dominant_ngram": 0.6}, {"common_words": 0.5}):
+        assert Q.kind_of(text, plain._replace(**changed)) is None

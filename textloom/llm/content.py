@@ -5,7 +5,7 @@ Each text is brought to its letters, marks and digits (case, whitespace, punctua
 cannot merge two contents; ``collisions`` reports how many such hashes there were. Counts combine before the shuffle, so a content
 that makes up a third of all rows is a few partial rows per task.
 
-Defined cases: null texts and texts under ``min_length`` letters belong to no group; copies of one text count each; a group's first
+Defined cases: null texts and texts whose content has under ``min_length`` letters belong to no group; copies of one text count each; a group's first
 record is its smallest id; extra columns are ignored.
 """
 
@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import INNER, content
+from .pieces import content
 from ..session import spread, written
 
 MIN_LENGTH = 20
@@ -38,7 +38,7 @@ def _keyed(min_length: int):
         for batch in batches:
             rows = []
             for at, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if text and len(text) >= min_length and (got := hashed(text))[2] >= min_length:
+                if text and (got := hashed(text))[2] >= min_length:
                     rows.append((at, got[0], got[1]))
             columns = list(zip(*rows)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.int64()))], names=["id", "hash", "check"])

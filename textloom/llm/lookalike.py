@@ -2,9 +2,10 @@
 
 Wide and narrow forms get their plain width, split characters are composed, invisible characters go, and each kind of single space
 becomes a space. In each token the scripts that can spell every letter are intersected: a letter stands for its own script and for
-those in which a look-alike exists. A token that one script can spell in whole is written in it (Latin before Cyrillic before
-Greek before Armenian), be it mixed or wholly made of look-alikes; one that no single script can spell, or whose own script has letters without a
-look-alike, stays in its script.
+those in which a look-alike exists. A token that only one script can spell in whole is written in it, be it mixed or not. One that several
+can spell takes, of these, that of the nearest token with one script, so a word of Russian stays one among Russian words; without such a token the first of
+``SCRIPTS``. Where no script spells all letters, each takes the first look that it has. Of kana and Han characters that look alike, the script of the
+characters beside them decides. As every choice depends on looks alone, texts that look the same get the same form.
 
 Defined cases: null texts have a null form; texts whose form is blank are in no pair; equal texts are no pair; extra columns are
 ignored. Case, accents, digits, raised digits and the number of spaces are kept.
@@ -13,7 +14,9 @@ ignored. Case, accents, digits, raised digits and the number of spaces are kept.
 from __future__ import annotations
 
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -26,66 +29,96 @@ from .pairs import expand
 
 #: Look-alike letters of other scripts, by the Latin letter that they look like.
 LOOK_ALIKES = {
-    "CYRILLIC": "а a е e о o р p с c у y х x і i ј j ѕ s һ h ԁ d ԛ q ԝ w ӏ l ү y А A В B Е E К K М M Н H О O Р P С C Т T У Y Х X І I Ј J Ѕ S Ԁ D Ԛ Q Ԝ W Ү Y Һ H З 3 ь b",
+    "CYRILLIC": "а a е e о o р p с c у y х x і i ј j ѕ s һ h ԁ d ԛ q ԝ w ӏ l ү y А A В B Е E К K М M Н H О O Р P С C Т T У Y Х X І I Ј J Ѕ S Ԁ D Ԛ Q Ԝ W Ү Y Һ H Ӏ I",
     "GREEK": "ο o ν v α a ι i ρ p υ u τ t κ k γ y χ x ϲ c ϳ j Α A Β B Ε E Ζ Z Η H Ι I Κ K Μ M Ν N Ο O Ρ P Τ T Υ Y Χ X Ϲ C Ϳ J",
     "ARMENIAN": "օ o ս u հ h ո n ց g զ q ա w յ j Օ O Ս U Լ L",
+    "COPTIC": "ⲟ o ⲥ c ⲣ p Ⲃ B Ⲉ E Ⲏ H Ⲓ I Ⲕ K Ⲙ M Ⲛ N Ⲟ O Ⲣ P Ⲥ C Ⲧ T Ⲭ X",
+    "CHEROKEE": "Ꭺ A Ᏼ B Ꮯ C Ꭰ D Ꭼ E Ꮐ G Ꮋ H Ꭻ J Ꮶ K Ꮮ L Ꮇ M Ꮲ P Ꭱ R Ꮪ S Ꭲ T Ꮩ V Ꮃ W Ꮓ Z",
+    "LISU": "ꓮ A ꓐ B ꓚ C ꓓ D ꓰ E ꓝ F ꓖ G ꓧ H ꓲ I ꓙ J ꓗ K ꓡ L ꓟ M ꓠ N ꓳ O ꓑ P ꓣ R ꓢ S ꓔ T ꓴ U ꓦ V ꓪ W ꓫ X ꓬ Y ꓜ Z",
 }
-#: Look-alikes that aren't letters of both scripts or that are told apart in running text.
-TOLD_APART = {"З", "ь"}
-SCRIPT_ORDER = ("LATIN", "CYRILLIC", "GREEK", "ARMENIAN")
-#: Katakana that look like hiragana or Han characters; only the key of comparison unites them.
-KANA = str.maketrans("ヘベペニロカエトタハ", "へべぺ二口力工卜夕八")
+SCRIPTS = ("LATIN", *LOOK_ALIKES)
+#: Katakana and the hiragana or Han characters that they look like.
+KANA_LIKE = dict(zip("ヘベペニロカエトタハ", "へべぺ二口力工卜夕八"))
+KANA_BACK = {other: kana for kana, other in KANA_LIKE.items()}
+KANA_TEXT, KANA_ANY = regex.compile(r"[\p{Hiragana}\p{Katakana}\p{Han}ー々]+"), regex.compile("[" + "".join([*KANA_LIKE, *KANA_BACK]) + "]")
 WIDTH = regex.compile(r"[！-￮]+[゙゚ﾞﾟ]*")
 SPACES = regex.compile(r"[\p{Zs}]")
 INVISIBLE = regex.compile(r"[\p{Cf}͏ᅟᅠㅤ឴឵]")
 ZERO_WIDTH_JOINERS = "‌‍"
-ALIEN = regex.compile(r"[Ͱ-ϿЀ-ԯԱ-֏]")
 TOKEN = regex.compile(r"[\p{L}\p{M}]+")
 
-TO_LATIN: dict[str, str] = {}
-FROM_LATIN: dict[str, dict[str, str]] = {}
-SCRIPT: dict[str, str] = {}
-for _script, _line in LOOK_ALIKES.items():
-    _items = _line.split()
-    for _letter, _latin in zip(_items[::2], _items[1::2]):
-        if _letter not in TOLD_APART:
-            TO_LATIN[_letter] = _latin
-            FROM_LATIN.setdefault(_script, {}).setdefault(_latin, _letter)
+#: By script, each Latin letter's look in it, and back.
+LOOKS = {script: dict(zip(line.split()[1::2], line.split()[::2])) for script, line in LOOK_ALIKES.items()}
+TO_LATIN = {look: latin for table in LOOKS.values() for latin, look in table.items()} | {a: b for line in LOOK_ALIKES.values() for a, b in zip(line.split()[::2], line.split()[1::2])}
+ALIEN = regex.compile("[Ͱ-ϿЀ-ԯԱ-֏" + "".join(TO_LATIN) + "]")
 
 
+@lru_cache(maxsize=50_000)
 def script_of(letter: str) -> str:
     """The script in a letter's name; marks have none."""
-    found = SCRIPT.get(letter)
-    if found is None:
-        found = "" if unicodedata.category(letter)[0] == "M" else unicodedata.name(letter, "?").split()[0]
-        SCRIPT[letter] = found
-    return found
+    return "" if unicodedata.category(letter)[0] == "M" else unicodedata.name(letter, "?").split()[0]
 
 
+@lru_cache(maxsize=50_000)
 def spellings(letter: str) -> dict[str, str]:
     """The scripts that can spell a letter, with its look in each: the resolved script set."""
     own = script_of(letter)
-    found = {own: letter}
     latin = letter if own == "LATIN" else TO_LATIN.get(letter)
-    if latin:
-        for script in SCRIPT_ORDER:
-            look = latin if script == "LATIN" else FROM_LATIN[script].get(latin)
-            if look and script not in found:
-                found[script] = look
-    return found
+    found = {script: latin if script == "LATIN" else LOOKS[script][latin] for script in SCRIPTS if latin and (script == "LATIN" or latin in LOOKS[script])}
+    return found or {own: letter}
 
 
-def consistent_token(token: str) -> str:
-    """A token in the first script that can spell all of it; unchanged if there is none."""
+@lru_cache(maxsize=100_000)
+def scripts_of(token: str) -> frozenset[str]:
+    """The scripts that can spell every letter of a token."""
+    sets = [set(spellings(letter)) for letter in unicodedata.normalize("NFD", token) if script_of(letter)]
+    return frozenset(set(sets[0]).intersection(*sets[1:])) if sets else frozenset()
+
+
+def spelled(token: str, script: str | None) -> str:
+    """A token in one script; without one, each letter in the first of its own."""
     letters = unicodedata.normalize("NFD", token)
-    sets = [spellings(letter) for letter in letters if script_of(letter)]
-    if not sets:
-        return token
-    shared = set(sets[0]).intersection(*sets[1:])
-    for script in SCRIPT_ORDER:
-        if script in shared:
-            return unicodedata.normalize("NFC", "".join(spellings(x)[script] if script_of(x) else x for x in letters))
-    return token
+    return unicodedata.normalize("NFC", "".join(x if not script_of(x) else spellings(x)[script] if script else next(iter(spellings(x).values())) for x in letters))
+
+
+def respelled(text: str) -> str:
+    """The text with each token in one script, by the token or its neighbours."""
+    tokens = list(TOKEN.finditer(text))
+    sets = [scripts_of(m[0]) for m in tokens]
+    sure: dict[str, list[int]] = {}
+    for at, found in enumerate(sets):
+        if len(found) == 1:
+            sure.setdefault(next(iter(found)), []).append(at)
+    out, end = [], 0
+    for at, (m, found) in enumerate(zip(tokens, sets)):
+        out.append(text[end : m.start()])
+        end = m.end()
+        if len(found) == 1:
+            out.append(spelled(m[0], next(iter(found))))
+            continue
+        best: tuple[int, int, int, str] | None = None
+        for script in found:
+            places = sure.get(script, [])
+            k = bisect_left(places, at)
+            near = [(abs(p - at), int(p > at), SCRIPTS.index(script), script) for p in places[max(0, k - 1) : k + 1]]
+            best = min([*near, *([best] if best else [])], default=None)
+        out.append(spelled(m[0], best[3] if best else next((s for s in SCRIPTS if s in found), None)))
+    return "".join([*out, text[end:]])
+
+
+def kana_spelled(match: regex.Match) -> str:
+    """A run of Japanese in which each look-alike is of the script of the nearest character that has one look, the one before first."""
+    chars = list(match[0])
+    kind = ["" if KANA_ANY.match(c) else "kana" if regex.match(r"[\p{Katakana}ー]", c) else "other" for c in chars]
+    after, left = [""] * len(chars), ""
+    for at in range(len(chars) - 1, -1, -1):
+        left = after[at] = kind[at] or left
+    before = ""
+    for at, c in enumerate(chars):
+        before = kind[at] or before
+        if not kind[at]:
+            chars[at] = KANA_BACK.get(c, c) if (before or after[at]) == "kana" else KANA_LIKE.get(c, c)
+    return "".join(chars)
 
 
 def _seen(match: regex.Match) -> str:
@@ -104,7 +137,9 @@ def consistent(text: str) -> str:
     text = WIDTH.sub(lambda m: unicodedata.normalize("NFKC", m[0]), text)
     text = INVISIBLE.sub(_seen, SPACES.sub(" ", text))
     text = unicodedata.normalize("NFC", text)
-    return TOKEN.sub(lambda m: consistent_token(m[0]) if ALIEN.search(m[0]) else m[0], text) if ALIEN.search(text) else text
+    if ALIEN.search(text):
+        text = respelled(text)
+    return KANA_TEXT.sub(kana_spelled, text) if KANA_ANY.search(text) else text
 
 
 def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +159,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for at, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if text and not text.isspace():
-                form = consistent(text).translate(KANA)
+                form = consistent(text)
                 if form and not form.isspace():
                     rows.append((at, xxhash.xxh3_128_digest(form.encode()), xxhash.xxh3_128_digest(text.encode())))
         columns = list(zip(*rows)) or [[], [], []]
