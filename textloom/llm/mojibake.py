@@ -80,8 +80,10 @@ def reverse(codec: str) -> dict[str, int]:
 @lru_cache(maxsize=1)
 def garble_class() -> str:
     """A regular expression of the characters that a garbled run is made of, besides ASCII letters."""
-    chars = sorted({c for codec in CODECS for c in charset(codec) if ord(c) >= 0x80} | {REPLACEMENT})
-    return "[A-Za-z" + "".join(f"\\x{{{ord(c):x}}}" for c in chars) + "]+"
+    codes = sorted({ord(c) for codec in CODECS for c in charset(codec) if ord(c) >= 0x80} | {ord(REPLACEMENT)})
+    starts = [c for c in codes if c - 1 not in codes]
+    ends = [c for c in codes if c + 1 not in codes]
+    return "[A-Za-z" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(starts, ends)) + "]+"  # ranges: the JVM asks each part of a class in turn
 
 
 def garble(run: str, chain: tuple[str, ...]) -> str:
