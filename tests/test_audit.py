@@ -235,3 +235,39 @@ def test_stream(spark, tmp_path):
     run = kept.writeStream.format("memory").queryName("kept").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state")).start()
     run.awaitTermination()
     assert [r.output for r in spark.table("kept").collect()] == ["one good line"]
+
+
+def test_greedy_by_rounds_and_at_once_agree(spark):
+    rng = random.Random(5)
+    pairs = {tuple(sorted(rng.sample(range(60), 2))) for _ in range(90)} | {(k, k + 1) for k in range(100, 140)}
+    links = spark.createDataFrame(sorted(pairs), "u long, v long")
+    kept: dict[int, bool] = {}
+    for node in sorted({n for p in pairs for n in p}):
+        kept[node] = not any(kept[u] for u, v in pairs if v == node)
+    assert {r.record: r.kept for r in near.greedy(links).collect()} == kept
+    assert {r.record: r.kept for r in near.greedy(links, at_once=30).collect()} == kept
+
+
+def test_crowded_buckets_lose_no_pair(spark):
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(9999)}" for _ in range(60)]
+    texts = []
+    for k in range(40):
+        words = list(base)
+        words[rng.randrange(60)] = f"x{k}"
+        texts.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(texts)), "record long, text string")
+    policy = Policy(near_dedup=True)
+    sets = near.sketches(stateless(from_table(df, "record", "text"), GENERIC, policy), policy)
+    want = {(r.u, r.v) for r in near.verified(near.candidates(sets, 0.85), sets, 0.85).collect()}
+    assert len(want) > 50 and {(r.u, r.v) for r in near.verified(near.candidates(sets, 0.85, large=3), sets, 0.85).collect()} == want
+
+
+def test_preview_reads_the_beginning_and_byte_counts_of_gzip(spark, tmp_path):
+    path = tmp_path / "a.txt.gz"
+    with gzip.open(path, "wb") as file:
+        file.write(b"\xef\xbb\xbfone\ntwo\nthree")
+    assert [(r.raw, r.byte_length) for r in read_lines(spark, str(path)).orderBy("record").collect()] == [("﻿one", 7), ("two", 4), ("three", 5)]
+    assert [(r.raw, r.byte_length) for r in read_lines(spark, str(path), max_records=2).orderBy("record").collect()] == [("﻿one", 7), ("two", 4)]
+    (tmp_path / "empty.txt").write_bytes(b"")
+    assert read_lines(spark, str(tmp_path / "empty.txt")).count() == 0

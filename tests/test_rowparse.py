@@ -55,6 +55,30 @@ def test_assemble():
     assert list(assemble(['1,"a', 'b"', "2,c", '3,"d""', 'e"', '4,"open'])) == ['1,"a\nb"', "2,c", '3,"d""\ne"', '4,"open']
 
 
+def test_assembling_is_linear_and_quote_aware():
+    many = ['1,"a'] + ["x,y"] * 200_000 + ['end",2']
+    assert [r.count("\n") for r in assemble(many)] == [200_001]
+    assert list(assemble(['a"b,c', '"x""', 'y",z'])) == ['a"b,c', '"x""\ny",z']
+    assert list(assemble(['in",1', "2,b"], quoted=True)) == ['in",1', "2,b"]
+
+
+def test_csv_file_with_line_breaks_over_partitions(spark, tmp_path):
+    path = tmp_path / "a.csv"
+    rows = [f'{k},"cell {k}\nwith ""quotes"", lines\n\nand more"' if k % 3 else f"{k},plain {k}" for k in range(1, 3001)]
+    path.write_text("\n".join([*rows, '3001,"' + "long\n" * 5000 + '"', "x,bad", '3003,"open', "to the end"]) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        raw = rowparse.csv_rows(spark, str(path), "in").cache()
+        inputs = spark.createDataFrame([("in", "csv", ",", "id:int,text:string", "text")], "input_path string, input_format string, delimiter string, column_spec string, text_field string")
+        assert [r.raw for r in raw.orderBy("row_id").collect()][:3000] == rows
+        sound = {r.id: r.text for r in rowparse.loaded(raw, inputs, "id:int,text:string").collect()}
+        assert len(sound) == 3001 and sound[3001] == "long\n" * 5000 and sound[4] == 'cell 4\nwith "quotes", lines\n\nand more'
+        assert sorted(r.reason for r in rowparse.failures(raw, inputs).collect()) == ["bad_value", "broken"]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_tables(spark):
     inputs = spark.createDataFrame([("a", "csv", ",", "id:int,text:string", "text"), ("b", "jsonl", None, "id:int,day:date", "text")], "input_path string, input_format string, delimiter string, column_spec string, text_field string")
     rows = [(1, "a", "1,x"), (2, "a", "1,x"), (3, "a", '1,"x'), (4, "b", '{"id": 5, "day": "2024-05-06"}'), (5, "none", "1,x"), (6, None, None)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import shutil
 import threading
 import time
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
@@ -14,13 +15,17 @@ from .profiles import PROFILES
 
 PREVIEW_RECORDS, MOST_BYTES = 100_000, 65_536
 DOWNLOADS = {"report": "json_report", "html": "html_report", "policy": "resolved_policy"}
+#: Outputs that are folders of part files; they are sent as one file.
+CORPORA = {"cleaned": "cleaned_corpus", "rejected": "rejected_records"}
 PAGE = """<!doctype html><html lang="en"><head><meta charset="utf-8"><title>textloom</title><style>body{font-family:sans-serif;margin:2em;max-width:60em}label{display:block;margin:.4em 0}
 .bar{background:#88a;height:.8em}</style></head><body><h1>textloom</h1><form id="f"><label>Input <input name="input" size="60" required></label><label>Mode <select name="mode"><option>preview<option>analyze<option>clean</select></label>
-<label>Profile <select name="profile" id="p"></select></label><label>Text field <input name="text_field" value="text"></label><label><input type="checkbox" name="near_dedup"> near duplicates</label><button>Start</button></form><pre id="s"></pre><div id="r"></div>
-<script>const $=i=>document.getElementById(i);fetch('/api/meta').then(r=>r.json()).then(m=>m.profiles.forEach(p=>{const o=document.createElement('option');o.value=p.key;o.textContent=p.name;$('p').append(o)}));
-$('f').onsubmit=e=>{e.preventDefault();const d=Object.fromEntries(new FormData($('f')));d.near_dedup=d.near_dedup==='on';fetch('/api/start',{method:'POST',headers:{'Content-Type':'application/json'},body:JSON.stringify(d)}).then(r=>r.json()).then(x=>{$('s').textContent=JSON.stringify(x)})};
+<label>Profile <select name="profile" id="p"></select></label><label>Text field <input name="text_field" value="text"></label><label><input type="checkbox" name="near_dedup"> near duplicates</label><fieldset><legend>Policy (empty: default)</legend><span id="o"></span></fieldset><button>Start</button></form><pre id="s"></pre><div id="r"></div>
+<script>const $=i=>document.getElementById(i);fetch('/api/meta').then(r=>r.json()).then(m=>m.profiles.forEach(p=>{const o=document.createElement('option');o.value=p.key;o.textContent=p.name;$('p').append(o)})||m.options.forEach(n=>{const l=document.createElement('label'),i=document.createElement('input');l.textContent=n+' ';i.name=n;l.append(i);$('o').append(l)}));
+$('f').onsubmit=e=>{e.preventDefault();const d=Object.fromEntries(new FormData($('f')));d.near_dedup=d.near_dedup==='on';for(const k of Object.keys(d))if(d[k]==='')delete d[k];fetch('/api/start',{method:'POST',headers:{'Content-Type':'application/json'},body:JSON.stringify(d)}).then(r=>r.json()).then(x=>{$('s').textContent=JSON.stringify(x)})};
 setInterval(()=>fetch('/api/status').then(r=>r.json()).then(x=>{$('s').textContent=x.state+' '+(x.stage||'')+' '+(x.error||'');const r=x.result;$('r').replaceChildren();if(!r)return;const most=Math.max(1,...Object.values(r.findings_by_code));
 for(const[k,n]of Object.entries(r.findings_by_code)){const t=document.createElement('div');t.textContent=k+': '+n;const b=document.createElement('div');b.className='bar';b.style.width=100*n/most+'%';$('r').append(t,b)}
+for(const[k,v]of Object.entries(r.script_threshold_preview)){const t=document.createElement('div');t.textContent='script ratio below '+k+': '+v.records_below;const b=document.createElement('div');b.className='bar';b.style.width=v.percentage+'%';$('r').append(t,b)}
+for(const n of ['cleaned','rejected','report','html','policy'])if(r.outputs[{cleaned:'cleaned_corpus',rejected:'rejected_records',report:'json_report',html:'html_report',policy:'resolved_policy'}[n]]){const a=document.createElement('a');a.href='/download/'+n;a.textContent=n+' ';$('r').append(a)}
 for(const[k,v]of Object.entries(r.examples_by_code))for(const x of v){const p=document.createElement('p');p.textContent=k+' #'+x.record+': '+x.text;$('r').append(p)}}),1000)</script></body></html>"""
 
 
@@ -79,6 +84,17 @@ def handler(jobs: Jobs) -> type[BaseHTTPRequestHandler]:
             self.end_headers()
             self.wfile.write(body)
 
+        def _send_parts(self, folder: Path) -> None:
+            """The part files of a folder in their order, as one download, a block at a time."""
+            parts = sorted(folder.glob("part-*"))
+            self.send_response(200)
+            for name, value in (("Content-Type", "text/plain; charset=utf-8"), ("Content-Length", str(sum(p.stat().st_size for p in parts))), ("Content-Disposition", f'attachment; filename="{folder.name}"'), ("X-Content-Type-Options", "nosniff"), ("Cache-Control", "no-store")):
+                self.send_header(name, value)
+            self.end_headers()
+            for part in parts:
+                with part.open("rb") as file:
+                    shutil.copyfileobj(file, self.wfile)
+
         def _json(self, status: int, value: Any) -> None:
             self._send(status, json.dumps(value, ensure_ascii=False, default=str).encode())
 
@@ -95,9 +111,12 @@ def handler(jobs: Jobs) -> type[BaseHTTPRequestHandler]:
             if self.path == "/":
                 return self._send(200, PAGE.encode(), "text/html")
             if self.path == "/api/meta":
-                return self._json(200, {"profiles": [{"key": p.key, "name": p.name} for p in PROFILES.values()]})
+                return self._json(200, {"profiles": [{"key": p.key, "name": p.name} for p in PROFILES.values()], "options": [name for name in cli.OVERRIDES if name != "profile"]})
             if self.path == "/api/status":
                 return self._json(200, jobs.state)
+            corpus = CORPORA.get(self.path.removeprefix("/download/"), "")
+            if corpus in outputs:
+                return self._send_parts(Path(outputs[corpus]))
             name = "html_report" if self.path == "/report" else DOWNLOADS.get(self.path.removeprefix("/download/"), "") if self.path.startswith("/download/") else ""
             if name in outputs:
                 return self._send(200, Path(outputs[name]).read_bytes(), "text/html" if name == "html_report" else "application/json")

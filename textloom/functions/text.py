@@ -46,8 +46,7 @@ def script_table() -> np.ndarray:
     letters = np.fromiter((unicodedata.category(chr(code))[0] in "LM" for code in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
     table[letters] = len(NAMES) - 1
     for at, name in enumerate(SCRIPT_RANGES):
-        for part in SCRIPT_RANGES[name].split():
-            low, high = (int(x, 16) for x in part.split("-"))
+        for low, high in SCRIPT_RANGES[name]:
             table[low : high + 1][letters[low : high + 1]] = at
     return table
 

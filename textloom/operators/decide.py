@@ -15,6 +15,8 @@ from ..session import spread, written
 from . import exact, near
 from .rules import Rule, findings, rejected, signals
 
+#: What decisions need of a record, and what a whole run keeps of it.
+DECIDING = ("record", "source_error", "norm", "findings")
 KEPT_COLUMNS = ("record", "raw", "byte_length", "source_error", "norm", "characters", "scripts", "script_ratio", "findings")
 
 
@@ -28,14 +30,14 @@ class Decided:
     pairs: DataFrame | None = None
 
 
-def stateless(records: DataFrame, profile: Profile, policy: Policy, extra: Sequence[Rule] = ()) -> DataFrame:
+def stateless(records: DataFrame, profile: Profile, policy: Policy, extra: Sequence[Rule] = (), keep: Sequence[str] = KEPT_COLUMNS) -> DataFrame:
     """Records with the findings of the stateless rules; no shuffle but one that spreads a scan of few partitions."""
-    return findings(signals(spread(records), profile, policy), profile, policy, extra).select(*KEPT_COLUMNS)
+    return findings(signals(spread(records), profile, policy), profile, policy, extra).select(*keep)
 
 
-def decided(records: DataFrame, profile: Profile, policy: Policy, extra: Sequence[Rule] = ()) -> Decided:
-    """Decide all records. The stateless findings are written once and read by each later stage with the columns that it needs."""
-    found = stateless(records, profile, policy, extra)
+def decided(records: DataFrame, profile: Profile, policy: Policy, extra: Sequence[Rule] = (), keep: Sequence[str] = KEPT_COLUMNS) -> Decided:
+    """Decide all records. The stateless findings are written once, with the columns to ``keep`` (``DECIDING`` at least), and read by each later stage with those that it needs."""
+    found = stateless(records, profile, policy, extra, keep)
     sets = matched = pairs = None
     if policy.exact_dedup or policy.near_dedup:
         found = written(found)

@@ -2,7 +2,7 @@
 
 Record v is dropped if a kept record u < v shares a band with it and is similar enough; its match is the smallest such u. As a set
 computation: pairs by a join on bands, verified on the full shingle sets, then a fix-point in which a record is kept once all its
-smaller neighbours are dropped, and dropped once one is kept. Links stay distributed; each round is written to the shared folder.
+smaller neighbours are dropped, and dropped once one is kept. Links stay distributed, each round in the shared folder, until few enough are open for one task.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from .exact import eligible
 PRIME = (1 << 61) - 1
 TOKEN = regex.compile(TOKENS)
 JOINT = "␟"
+#: Records of a bucket up to which all its pairs are candidates; links that one task decides.
+LARGE, FINISH_LINKS = 2_000, 1_000_000
 BITS31, BITS30 = np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
 
 
@@ -36,7 +38,7 @@ def tokens(text: str) -> list[str]:
 
 
 def digest64(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big")
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest())
 
 
 def shingles(text: str, size: int) -> set[int]:
@@ -97,12 +99,37 @@ def sketches(found: DataFrame, policy: Policy) -> DataFrame:
     return rows.mapInArrow(_sketches(policy.shingle_size, policy.lsh_bands * policy.lsh_rows, policy.lsh_rows), "record long, shingles array<long>, set_key binary, bands array<long>")
 
 
-def candidates(sets: DataFrame) -> DataFrame:
-    """(u, v), u < v: records that share a band."""
+def candidates(sets: DataFrame, threshold: float, large: int = LARGE) -> DataFrame:
+    """(u, v), u < v: records that share a band.
+
+    Buckets of one record are dropped after a count that combines before its shuffle. In a bucket of more than ``large`` records not all pairs
+    are made: its records meet on their rarest shingles, which misses no pair of the threshold, and the meeting pairs are held against their bands.
+    """
     buckets = sets.select("record", F.posexplode("bands").alias("band", "bucket"))
-    left = buckets.withColumnRenamed("record", "u")
-    right = buckets.withColumnRenamed("record", "v")
-    return left.join(right, ["band", "bucket"]).where("u < v").select("u", "v").distinct()
+    counts = written(buckets.groupBy("band", "bucket").agg(F.count("*").alias("n")).where("n > 1"))
+    usual = buckets.join(counts.where(F.col("n") <= large).select("band", "bucket"), ["band", "bucket"], "left_semi")
+    found = usual.withColumnRenamed("record", "u").join(usual.withColumnRenamed("record", "v"), ["band", "bucket"]).where("u < v").select("u", "v")
+    hot = counts.where(F.col("n") > large)
+    if not hot.isEmpty():
+        crowd = sets.join(buckets.join(hot, ["band", "bucket"], "left_semi").select("record").distinct(), "record", "left_semi")
+        rare = rare_shingles(crowd, threshold)
+        met = rare.withColumnRenamed("record", "u").join(rare.withColumnRenamed("record", "v"), "shingle").where("u < v").select("u", "v").distinct()
+        of = lambda name: sets.select(F.col("record").alias(name), F.col("bands").alias(f"{name}_bands"))
+        share = F.exists(F.zip_with("u_bands", "v_bands", lambda x, y: x == y), lambda same: same)
+        found = found.unionByName(met.join(of("u"), "u").join(of("v"), "v").where(share).select("u", "v"))
+    return found.distinct()
+
+
+def rare_shingles(sets: DataFrame, threshold: float) -> DataFrame:
+    """(shingle, record): of each set the rarest shingles, so many that two sets of this similarity share one of them.
+
+    Sets of at most n elements with similarity t have t * n in common: one of them is among the first n - ceil(t * n) + 1 of either in any common order.
+    """
+    rows = sets.select("record", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    often = rows.groupBy("shingle").agg(F.count("*").alias("often"))
+    sorted_ = rows.join(often, "shingle").groupBy("record", "n").agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("all"))
+    first = F.slice("all", 1, (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int"))
+    return sorted_.select(F.explode(F.transform(first, lambda x: x["shingle"])).alias("shingle"), "record")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -113,22 +140,38 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.select("u", "v", (shared / (F.size("su") + F.size("sv") - shared)).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
-def greedy(links: DataFrame) -> DataFrame:
+def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(record, kept) of all v of links (u, v, kept), kept being that of u where it is known; all links in one task, by rising v."""
+    links = pa.Table.from_batches(batches) if (batches := list(batches)) else None
+    if links is None:
+        return
+    u, v = (np.asarray(links.column(k).combine_chunks()) for k in (0, 1))
+    known = links.column(2).to_pylist()
+    state: dict[int, bool] = {}
+    for at in np.argsort(v, kind="stable").tolist():
+        low, high = int(u[at]), int(v[at])
+        below = known[at] if known[at] is not None else state[low]
+        state[high] = state.get(high, True) and not below
+    yield pa.RecordBatch.from_arrays([pa.array(list(state), pa.int64()), pa.array(list(state.values()), pa.bool_())], names=["record", "kept"])
+
+
+def greedy(links: DataFrame, at_once: int = FINISH_LINKS) -> DataFrame:
     """(record, kept) of all records in links (u, v), u < v: kept if and only if no kept record is linked below it.
 
-    Every round decides at least the smallest undecided record of each connected part; the number of rounds is the longest chain of
-    decisions, and each works on the undecided links alone.
+    Every round decides at least the smallest undecided record of each connected part and drops the links that no longer matter. As soon as
+    at most ``at_once`` links are open, a size that fits any task, one task decides the rest in order, however long its chains are.
     """
     open_ = written(links.select("u", "v"))
     nodes = open_.select(F.explode(F.array("u", "v")).alias("record")).distinct()
     last = written(nodes.join(open_.select(F.col("v").alias("record")), "record", "left_anti").withColumn("kept", F.lit(True)))
     parts = [last]
     while True:
-        marks = open_.join(last.select(F.col("record").alias("u"), "kept"), "u", "left")
+        marks = open_.join(last.select(F.col("record").alias("u"), "kept"), "u", "left").select("u", "v", "kept")
+        if open_.limit(at_once + 1).count() <= at_once:
+            parts.append(written(marks.coalesce(1).mapInArrow(_decided, "record long, kept boolean")))
+            return reduce(DataFrame.unionByName, parts)
         state = marks.groupBy("v").agg(F.max(F.coalesce("kept", F.lit(False))).alias("hit"), F.count_if(F.col("kept").isNull()).alias("unknown"))
         last = written(state.where("hit or unknown = 0").select(F.col("v").alias("record"), (~F.col("hit")).alias("kept")))
-        if last.isEmpty():
-            return reduce(DataFrame.unionByName, parts)
         parts.append(last)
         # links from dropped records no longer matter, nor do links to records that are decided now
         left = marks.where("kept is null").select("u", "v").join(last.select(F.col("record").alias("v")), "v", "left_anti")
@@ -145,7 +188,7 @@ def matches(found: DataFrame, policy: Policy) -> tuple[DataFrame, DataFrame, Dat
     firsts = some.groupBy("set_key").agg(F.min("record").alias("first"))
     named = some.join(firsts, "set_key").select("record", "first", "shingles", "bands")
     reps = written(named.where("record = first").select("record", "shingles", "bands"))
-    pairs = written(candidates(reps))
+    pairs = written(candidates(reps, policy.near_duplicate_threshold))
     links = written(verified(pairs, reps, policy.near_duplicate_threshold))
     kept = greedy(links)
     ends = links.join(kept.where("kept").select(F.col("record").alias("u")), "u").join(kept.where("not kept").select(F.col("record").alias("v")), "v")

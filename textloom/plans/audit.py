@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import near, summaries
-from ..operators.decide import decided, stateless
+from ..operators.decide import DECIDING, KEPT_COLUMNS, decided, stateless
 from ..operators.rules import normalized, rejected, signals
 from ..policy import Policy, resolved
 from ..profiles import BOILERPLATE, OTHER, PROFILES, SCRIPT_RANGES
@@ -51,8 +51,8 @@ def signalled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals(spread(documents(spark, sf_dir)), EN, EN_POLICY)
 
 
-def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decided(documents(spark, sf_dir), EN, EN_POLICY).records
+def judged(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = DECIDING) -> DataFrame:
+    return decided(documents(spark, sf_dir), EN, EN_POLICY, keep=keep).records
 
 
 # --- SQL building blocks -------------------------------------------------------------------------------------------
@@ -73,7 +73,7 @@ EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 
 
 def _between(name: str) -> str:
-    return " OR ".join("u BETWEEN {} AND {}".format(*(int(x, 16) for x in part.split("-"))) for part in SCRIPT_RANGES[name].split())
+    return " OR ".join(f"u BETWEEN {low} AND {high}" for low, high in SCRIPT_RANGES[name])
 
 
 SCRIPT = "CASE " + " ".join(f"WHEN {_between(name)} THEN '{name}'" for name in SCRIPT_RANGES) + f" ELSE '{OTHER}' END"
@@ -187,7 +187,24 @@ def email_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalized(spread(documents(spark, sf_dir))).select("record", made["masked"].alias("masked"), made["emails"].alias("emails"))
 
 
-@query()
+ND = r"\p{Nd}"
+#: The phone patterns of Bengali without the looks behind and ahead that RE2 lacks: (digits, number); the neighbours are matched and put back.
+BN_PHONES = ((ND, rf"(?:\+?88)?01[3-9]{ND}{{8}}"), ("০-৯", r"(?:\+?৮৮)?০১[৩-৯][০-৯]{8}"), (ND, rf"(?:\+?91[- ]?)?[6-9]{ND}{{9}}"))
+
+
+def _phones(text: str) -> str:
+    """Each pattern twice, as one character between two numbers can be put back for one of them only."""
+    for digit, number in BN_PHONES:
+        for _ in range(2):
+            text = f"regexp_replace({text}, '(^|[^{digit}])(?:{number})($|[^{digit}])', '\\1<PHONE>\\2', 'g')"
+    return text
+
+
+MASKED_BN = f"m AS (SELECT record, e, {_phones('e')} AS masked FROM (SELECT record, regexp_replace(t, '{EMAIL}', '<EMAIL>', 'g') AS e FROM n))"
+PHONES_FOUND = "(length(replace(masked, '<PHONE>', '<PHONE>.')) - length(masked) - length(replace(e, '<PHONE>', '<PHONE>.')) + length(e))"
+
+
+@query(f"WITH {_n('records', 'record')}, {MASKED_BN} SELECT record, masked, {PHONES_FOUND} AS phones FROM m")
 def phone_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = X.mask(F.col("norm"), PROFILES["bn"])
     return normalized(spread(records(spark, sf_dir))).select("record", made["masked"].alias("masked"), made["phones"].alias("phones"))
@@ -196,7 +213,7 @@ def phone_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- rules and decisions -------------------------------------------------------------------------------------------
 @query(f"WITH {N}, {_codes()} SELECT record, code, action FROM f0")
 def stateless_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summaries.exploded(stateless(documents(spark, sf_dir), EN, EN_POLICY)).select("record", "code", "action")
+    return summaries.exploded(stateless(documents(spark, sf_dir), EN, EN_POLICY, keep=DECIDING)).select("record", "code", "action")
 
 
 @query(f"WITH {N} SELECT record, length(t) AS characters, CASE WHEN t = '' THEN 'empty' WHEN length(t) < 5 THEN 'too_short' ELSE 'too_long' END AS code FROM n WHERE length(t) < 5 OR length(t) > 100000")
@@ -259,7 +276,7 @@ def length_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     "sum(length(t))::BIGINT AS characters_read, coalesce(sum(e) FILTER (WHERE kept), 0)::BIGINT AS emails_masked FROM d"
 )
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summaries.totals(judged(spark, sf_dir)).select("records_read", "records_kept", "records_rejected", "records_transformed", "characters_read", "emails_masked")
+    return summaries.totals(judged(spark, sf_dir, KEPT_COLUMNS)).select("records_read", "records_kept", "records_rejected", "records_transformed", "characters_read", "emails_masked")
 
 
 @query(f"{F_DOCS} SELECT record, regexp_replace(t, '{EMAIL}', '<EMAIL>', 'g') AS value FROM n WHERE record NOT IN (SELECT record FROM f WHERE action = 'reject')")
@@ -275,7 +292,7 @@ def rejected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{F_RECORDS} SELECT code, count(*) AS findings FROM f GROUP BY code")
 def records_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summaries.by_code(decided(records(spark, sf_dir), GENERIC, GENERIC_POLICY).records).select("code", "findings")
+    return summaries.by_code(decided(records(spark, sf_dir), GENERIC, GENERIC_POLICY, keep=DECIDING).records).select("code", "findings")
 
 
 @query()
@@ -305,19 +322,73 @@ NEAR_PAIRS = (
 @query(NEAR_PAIRS)
 def near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verified pairs of different shingle sets that share a band; the SQL compares all sets that share a shingle."""
-    found = written(stateless(documents(spark, sf_dir), EN, NEAR_POLICY))
+    found = written(stateless(documents(spark, sf_dir), EN, NEAR_POLICY, keep=DECIDING))
     sets = written(near.sketches(found, NEAR_POLICY).where(F.size("shingles") > 0))
     firsts = sets.groupBy("set_key").agg(F.min("record").alias("record"))
     reps = written(sets.join(firsts.select("record"), "record").select("record", "shingles", "bands"))
-    return near.verified(near.candidates(reps), reps, NEAR_POLICY.near_duplicate_threshold)
+    return near.verified(near.candidates(reps, NEAR_POLICY.near_duplicate_threshold), reps, NEAR_POLICY.near_duplicate_threshold)
+
+
+NEAR_DUPLICATES = (
+    NEAR_PAIRS.split(", rep AS")[0].replace("FROM f0 WHERE action = 'reject'))", "FROM f WHERE action = 'reject'))").replace(", tok AS", f", {_decided()}, tok AS", 1).replace("WITH ", "WITH RECURSIVE ", 1)
+    + ", named AS (SELECT record, s, min(record) OVER (PARTITION BY s) AS first FROM sh WHERE len(s) > 0), e AS (SELECT record, len(s) AS size, unnest(s) AS x FROM named WHERE record = first), "
+    "p AS (SELECT a.record AS u, b.record AS v, a.size AS n, b.size AS m, count(*) AS k FROM e a JOIN e b ON a.x = b.x AND a.record < b.record GROUP BY ALL), "
+    "l AS (SELECT u, v, k / (n + m - k) AS similarity FROM p WHERE k / (n + m - k) >= 0.85), nodes AS (SELECT u AS r FROM l UNION SELECT v FROM l), "
+    "o AS (SELECT r, list(u) FILTER (WHERE u IS NOT NULL) AS us, row_number() OVER (ORDER BY r) AS k FROM nodes LEFT JOIN l ON v = r GROUP BY r), "
+    "steps AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS kept UNION ALL SELECT steps.k + 1, CASE WHEN list_has_any(kept, coalesce(us, [])) THEN kept ELSE list_append(kept, r) END FROM steps JOIN o ON o.k = steps.k + 1), "
+    "alive AS (SELECT unnest(kept) AS r FROM (SELECT kept FROM steps ORDER BY k DESC LIMIT 1)), "
+    "d AS (SELECT v, min(u) AS near_match, arg_min(similarity, u) AS near_similarity FROM l JOIN alive ON r = u WHERE v NOT IN (SELECT r FROM alive) GROUP BY v) "
+    "SELECT record, coalesce(near_match, first) AS near_match, coalesce(near_similarity, 1.0) AS near_similarity FROM named LEFT JOIN d ON v = first WHERE near_match IS NOT NULL OR record > first"
+)
 
 
-@query()
+@query(NEAR_DUPLICATES)
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = decided(documents(spark, sf_dir), EN, NEAR_POLICY)
+    made = decided(documents(spark, sf_dir), EN, NEAR_POLICY, keep=DECIDING)
     return made.records.where("near_match is not null").select("record", "near_match", "near_similarity")
 
 
+# --- further rules and counters --------------------------------------------------------------------------------------
+TIGHT = Policy(max_characters=200, repeated_character_run=3, exact_dedup=False)
+
+
+@query(
+    f"WITH {RECORDS_N}, {CHAR_RUN} SELECT record, 'too_long' AS code, length(t)::DOUBLE AS value FROM n WHERE length(t) > 200 "
+    "UNION ALL SELECT record, 'character_spam', run FROM n JOIN cr USING (record) WHERE length(t) >= 20 AND run >= 3 AND run / length(t) >= 0.1"
+)
+def tight_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of a strict policy: long texts, and those with a long run of one character."""
+    found = summaries.exploded(stateless(records(spark, sf_dir), GENERIC, TIGHT, keep=DECIDING))
+    return found.where(F.col("code").isin("too_long", "character_spam")).select("record", "code", "value")
+
+
+@query(f"WITH {_n('records', 'record')} SELECT record FROM n WHERE t <> '' AND (" + " OR ".join(f"regexp_matches(t, '(^|[^{digit}])(?:{number})($|[^{digit}])')" for digit, number in BN_PHONES) + ")")
+def phone_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    policy, profile = resolved({"profile": "bn"})
+    return summaries.exploded(stateless(records(spark, sf_dir), profile, policy, keep=DECIDING)).where("code = 'phone_detected'").select("record")
+
+
+@query(f"{F_DOCS} SELECT (SELECT count(*) FROM ok) - (SELECT count(*) FROM x) AS indexed, (SELECT count(*) FROM x) AS removed")
+def exact_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that the exact deduplication holds, and copies that it removes."""
+    stateless_reject = F.exists("findings", lambda f: (f["action"] == "reject") & (f["code"] != "exact_duplicate"))
+    open_ = (F.col("norm") != "") & F.col("source_error").isNull() & ~stateless_reject
+    return judged(spark, sf_dir).agg(F.count_if(open_ & F.col("first_record").isNull()).alias("indexed"), F.count("first_record").alias("removed"))
+
+
+@query(
+    f"WITH {_n('records', 'record', ', raw, source_error, input_path')}, {_codes('source_error', False)} SELECT n.record, regexp_replace(n.t, '{EMAIL}', '<EMAIL>', 'g') AS text, len(json_keys(n.raw)) AS keys "
+    "FROM n JOIN (SELECT DISTINCT input_path FROM inputs WHERE input_format = 'jsonl' AND text_field IS NOT NULL) USING (input_path) "
+    "WHERE n.raw IS NOT NULL AND n.source_error IS NULL AND n.record NOT IN (SELECT record FROM f0 WHERE action = 'reject')"
+)
+def jsonl_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kept JSON lines of ``jsonl_roundtrip`` read again: their text, and how many keys they have."""
+    lines = jsonl_roundtrip(spark, sf_dir).join(table(spark, sf_dir, "records").select("record", "input_path"), "record")
+    fields = table(spark, sf_dir, "inputs").groupBy("input_path").agg(F.first("text_field").alias("field"))
+    read = lines.join(fields, "input_path").withColumn("object", F.from_json("value", "map<string,string>"))
+    return read.select("record", F.element_at("object", F.col("field")).alias("text"), F.size("object").cast("long").alias("keys"))
+
+
 # --- streams -------------------------------------------------------------------------------------------------------
 @query(f"WITH {N}, {_codes()} SELECT code, count(*) AS findings FROM f0 GROUP BY code")
 def stream_findings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -22,7 +24,8 @@ def ship(spark: SparkSession) -> None:
     if context.applicationId in SHIPPED:
         return
     package = Path(__file__).parent
-    path = Path(tempfile.mkdtemp(prefix="textloom-package-")) / "textloom.zip"
+    path = Path(tempfile.mkdtemp(prefix="textloom-package-")) / "textloom.zip"  # of the driver alone: Spark serves it from there
+    atexit.register(shutil.rmtree, path.parent, True)
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as packed:
         for file in sorted(package.rglob("*")):
             if file.suffix in (".py", ".npz"):
@@ -70,6 +73,18 @@ def purge(spark: SparkSession, since: int = 0) -> None:
     del WRITTEN[since:]
 
 
+def _leave() -> None:
+    """Delete what is left of the intermediate tables when the process ends in order, while its session still runs."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and WRITTEN:
+        try:
+            purge(spark)
+        except Exception:  # noqa: BLE001  the JVM may be gone
+            pass
+
+
+atexit.register(_leave)
+
 #: Operators after which partitions follow from a shuffle; counting them would run it.
 SHUFFLING = re.compile(r"^[\s:+-]*(?:Join|Aggregate|Window|Sort|Repartition\w*|Distinct|Deduplicate|Intersect|Except|GlobalLimit|Generate)\b", re.MULTILINE)
 

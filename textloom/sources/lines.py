@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import gzip
 import json
+import uuid
 from collections.abc import Iterator
+from itertools import islice
 from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+from ..session import WRITTEN, shared_dir, written
 
 PARSED = T.StructType([T.StructField("text", T.StringType()), T.StructField("source_error", T.StringType())])
 BOM = b"\xef\xbb\xbf"
@@ -53,52 +58,92 @@ def parse_udf(field: str):
     return F.pandas_udf(parse, PARSED)
 
 
+#: Partitions up to which their offsets are sent to all executors, one row of 16 bytes for each.
+SENT_PARTITIONS = 2_000_000
+
+
 def numbered(lines: DataFrame) -> DataFrame:
     """Lines with ``record``, counted from 1 in file order.
 
-    The number of lines of each partition is counted first, one row for each partition; a line's number is then its place within
-    its partition plus the lines before, without a sort or a shuffle of the lines.
+    The lines of each partition are counted first; a line's number is its place within its partition plus the lines before, from a table of
+    one row for each partition that is joined by the partition's number: no sort or shuffle of lines, and no plan that grows with them.
     """
     marked = lines.withColumns({"_part": F.spark_partition_id(), "_id": F.monotonically_increasing_id()})
-    counts = sorted((row._part, row.n) for row in marked.groupBy("_part").agg(F.count("*").alias("n")).collect())
-    before, total = {}, 0
-    for part, n in counts:
-        before[part] = total
-        total += n
-    offsets = F.create_map(*(F.lit(x) for pair in before.items() for x in pair)) if before else F.create_map(F.lit(-1), F.lit(0))
+    counts = written(marked.groupBy("_part").agg(F.count("*").alias("n")))
+    before = written(counts.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_before")))  # a row for each partition
+    if before.count() <= SENT_PARTITIONS:
+        before = F.broadcast(before)
     place = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    return marked.withColumn("record", (offsets[F.col("_part")] + place + 1).cast("long")).drop("_part", "_id")
+    return marked.join(before, "_part").withColumn("record", (F.col("_before") + place + 1).cast("long")).drop("_part", "_id", "_before")
+
+
+def head(spark: SparkSession, path: str, count: int) -> str | None:
+    """A copy of the first lines of a local file in the shared folder, so that no more of it is read; None where either isn't local."""
+    local, shared = Path(path.removeprefix("file://")), shared_dir(spark).removeprefix("file://")
+    if not local.is_file() or "://" in shared:
+        return None
+    target = Path(shared) / f"textloom-head-{uuid.uuid4().hex}.txt"
+    target.parent.mkdir(parents=True, exist_ok=True)
+    with gzip.open(local) if compression(path) == "gzip" else local.open("rb") as source, target.open("wb") as copy:
+        copy.writelines(islice(source, count))
+    WRITTEN.append(str(target))
+    return str(target)
+
+
+def edges(spark: SparkSession, path: str, size: int) -> tuple[bool, bool]:
+    """(begins with a byte order mark, last line has no line feed) of one file of any file system; ``size``: its bytes if each line had one."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(conf)
+    if not system.exists(place) or not system.getFileStatus(place).isFile() or not size:
+        return False, False
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(place)
+
+    def opened():
+        stream = system.open(place)
+        return codec.createInputStream(stream) if codec else stream
+
+    first = opened()
+    mark = [first.read() for _ in BOM] == list(BOM)
+    first.close()
+    size += len(BOM) * mark
+    last = opened()
+    if codec:
+        jvm.org.apache.commons.io.IOUtils.skip(last, size - 1)  # of a gzip file, which one task reads in whole anyway
+        missing = last.read() == -1
+    else:
+        length = system.getFileStatus(place).getLen()
+        last.seek(length - 1)
+        missing = last.read() != 10
+    last.close()
+    return mark, missing
 
 
 def read_lines(spark: SparkSession, path: str, requested: str = "auto", text_field: str = "text", max_records: int | None = None) -> DataFrame:
     """The records of a file: (record, text, raw, byte_length, source_error).
 
-    Lines end at line feeds only; carriage returns at the end of a line are dropped; invalid UTF-8 becomes replacement characters. A
-    leading byte order mark is kept as text where the file is local. ``byte_length`` counts decoded bytes with the line feed; the last line of a local plain file without one counts as it is.
+    Lines end at line feeds only; carriage returns at the end of a line are dropped; invalid UTF-8 becomes replacement characters. A leading
+    byte order mark is kept as text. ``byte_length`` counts decoded bytes with the line feed; a last line without one counts as it is.
+    Of a local file no more than ``max_records`` lines are read.
     """
-    lines = spark.read.option("lineSep", "\n").text(path)
-    rows = numbered(lines)
-    local = Path(path.removeprefix("file://"))
-    mark = ends = False
-    if local.is_file() and local.stat().st_size:
-        with gzip.open(local) if compression(path) == "gzip" else local.open("rb") as file:
-            mark = file.read(3) == BOM
-            if compression(path) == "none":
-                file.seek(-1, 2)
-                ends = file.read(1) != b"\n"
+    kind = infer_format(path, requested)
+    if max_records is not None:
+        path = head(spark, path, max_records) or path
+    rows = numbered(spark.read.option("lineSep", "\n").text(path))
+    size = F.octet_length("value") + 1
+    whole = rows.agg(F.max("record").alias("last"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    mark, unended = edges(spark, path, whole.bytes)
     value = F.col("value")
     if mark:
-        value = F.when((F.col("record") == 1) & ~value.startswith("﻿"), F.concat(F.lit("﻿"), value)).otherwise(value)
+        value = F.when((F.col("record") == 1) & ~value.startswith("\ufeff"), F.concat(F.lit("\ufeff"), value)).otherwise(value)
     rows = rows.withColumn("value", value)
-    size = F.octet_length("value") + 1
-    if ends:
-        last = rows.agg(F.max("record")).first()[0]
-        size = size - (F.col("record") == last).cast("int")
+    if unended:
+        size = size - (F.col("record") == whole.last).cast("int")
     if max_records is not None:
         rows = rows.where(F.col("record") <= max_records)
     raw = F.regexp_replace(F.make_valid_utf8("value"), r"[\r\n]+$", "")
     rows = rows.select("record", raw.alias("raw"), size.cast("long").alias("byte_length"))
-    if infer_format(path, requested) == "txt":
+    if kind == "txt":
         return rows.select("record", F.col("raw").alias("text"), "raw", "byte_length", F.lit(None).cast("string").alias("source_error"))
     parsed = rows.withColumn("_p", parse_udf(text_field)("raw"))
     return parsed.select("record", F.col("_p.text").alias("text"), "raw", "byte_length", F.col("_p.source_error").alias("source_error"))
