@@ -36,3 +36,40 @@ SHARES = (
 )
 P3_FOUND = f"WITH {SHARES} SELECT record FROM share WHERE n >= 20 AND share >= 0.3"
 P3_SHARES = f"WITH {SHARES} SELECT record AS id, share FROM share"
+
+#: Marks that end a sentence, and what may follow them.
+ENDS, CLOSERS = ".?!।॥。！？…", "\"\'\'”’»)\\]」』"
+STRIPPED = SPACE.removesuffix("+")
+P6_STATISTICS = (
+    f"WITH r AS (SELECT record, text, list_filter(regexp_split_to_array(text, '{SPACE}'), lambda p: p <> '') AS ps FROM records), "
+    f"w AS (SELECT record, list_filter(list_transform(regexp_split_to_array(lower(text), '{SPACE}'), lambda p: regexp_replace(p, '{OUTER}', '', 'g')), lambda p: p <> '') AS ws FROM records WHERE text IS NOT NULL), "
+    f"li AS (SELECT record, list_filter(list_transform(string_split(text, chr(10)), lambda p: regexp_replace(p, '^{STRIPPED}+|{STRIPPED}+$', '', 'g')), lambda p: p <> '') AS ls FROM records WHERE text IS NOT NULL), "
+    f"pa AS (SELECT record, list_filter(list_transform(regexp_split_to_array(text, '\\n{STRIPPED}*\\n'), lambda p: regexp_replace(p, '^{STRIPPED}+|{STRIPPED}+$', '', 'g')), lambda p: p <> '') AS ls FROM records WHERE text IS NOT NULL), "
+    + ", ".join(
+        f"{name} AS (SELECT record, sum(length(x)) FILTER (WHERE k > 1) AS again, sum(length(x)) AS total FROM (SELECT record, x, row_number() OVER (PARTITION BY record, x) AS k FROM (SELECT record, unnest(ls) AS x FROM {source})) GROUP BY record)"
+        for name, source in (("dl", "li"), ("dp", "pa"))
+    )
+    + ", gr AS (" + " UNION ALL ".join(f"SELECT record, {n} AS size, unnest(range(1, len(ws) - {n - 2})) AS i, unnest([ws[k:k + {n - 1}] for k in range(1, len(ws) - {n - 2})]) AS g FROM w WHERE len(ws) >= {n}" for n in (2, 3, 4)) + "), "
+    "gc AS (SELECT record, size, g, count(*) AS c, min(i) AS i FROM gr GROUP BY record, size, g), "
+    "gt AS (SELECT record, g, c FROM gc QUALIFY row_number() OVER (PARTITION BY record, size ORDER BY c DESC, i) = 1), "
+    "do_ AS (SELECT record, max(least(1.0, c * length(array_to_string(g, '')) / length(array_to_string(ws, '')))) AS share FROM gt JOIN w USING (record) WHERE c > 1 GROUP BY record), "
+    "cw AS (SELECT list(DISTINCT lower(word)) AS l FROM common_words WHERE word IS NOT NULL), "
+    "solid AS (SELECT record, length(array_to_string(ps, '')) AS n FROM r) "
+    "SELECT r.record AS id, len(ps) AS word_count, nullif(solid.n, 0) / len(ps) AS mean_word_length, len(regexp_extract_all(text, '[\\p{P}\\p{S}]')) / nullif(solid.n, 0) AS symbol_ratio, "
+    f"len(list_filter(ls, lambda x: regexp_matches(x, '[{ENDS}][{CLOSERS}]*$'))) / nullif(len(ls), 0) AS punctuated_lines, len(list_filter(ws, lambda x: list_contains(cw.l, x))) / nullif(len(ws), 0) AS common_words, "
+    "CASE WHEN text IS NOT NULL THEN coalesce(dl.again / dl.total, 0.0) END AS duplicate_lines, CASE WHEN text IS NOT NULL THEN coalesce(dp.again / dp.total, 0.0) END AS duplicate_paragraphs, "
+    "CASE WHEN text IS NOT NULL THEN coalesce(do_.share, 0.0) END AS dominant_ngram, list_median(list_transform(ls, lambda x: length(x))) AS median_line "
+    "FROM r LEFT JOIN solid USING (record) LEFT JOIN w USING (record) LEFT JOIN li USING (record) LEFT JOIN dl USING (record) LEFT JOIN dp USING (record) LEFT JOIN do_ USING (record), cw"
+)
+P6_WRONG_VALUES = (
+    f"WITH r AS (SELECT record, text, list_filter(regexp_split_to_array(text, '{SPACE}'), lambda p: p <> '') AS ps FROM records WHERE text IS NOT NULL), "
+    "m AS (SELECT record, len(ps) AS word_count, length(array_to_string(ps, '')) AS solid, len(regexp_extract_all(text, '[\\p{P}\\p{S}]')) AS symbols FROM r), "
+    "v AS (SELECT record, CASE code WHEN 'word_count' THEN word_count WHEN 'mean_word_length' THEN coalesce(solid / nullif(word_count, 0), 0.0) ELSE coalesce(symbols / nullif(solid, 0), 0.0) END AS true_value, value "
+    "FROM findings JOIN m USING (record) WHERE code IN ('word_count', 'mean_word_length', 'symbol_ratio') AND value IS NOT NULL) SELECT DISTINCT record FROM v WHERE abs(value - true_value) > 0.01"
+)
+#: Each source that has texts reaches its share of the sources that have any, within its cap; the others have nothing.
+P9_CHECKS = (
+    "WITH t AS (SELECT lower(regexp_replace(source, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')) AS source, target_share, max_repeats FROM mix_targets), "
+    "d AS (SELECT DISTINCT lower(regexp_replace(source, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')) AS source FROM documents WHERE text <> ''), live AS (SELECT sum(target_share) AS s FROM t JOIN d USING (source)) "
+    "SELECT t.source, round(CASE WHEN d.source IS NULL THEN 0 ELSE target_share / s END, 6) AS wanted, true AS reached, true AS within_cap FROM t LEFT JOIN d USING (source), live WHERE t.source IS NOT NULL"
+)

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..session import table
+from ..session import table, written
 from . import bpe, content, lookalike, mixing, mojibake, near, oracles, pii, quality, repetition
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,7 +78,13 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def p6_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.statistics(table(spark, sf_dir, "records"), table(spark, sf_dir, "common_words"))
+    return quality.statistics(table(spark, sf_dir, "records"), table(spark, sf_dir, "common_words")).drop("kind")
+
+
+@query
+def p6_wrong_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of ``p6_found`` that an earlier measurement doesn't fit."""
+    return p6_found(spark, sf_dir).where("kind = 'wrong_value'").select("record")
 
 
 @query
@@ -90,6 +98,21 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(mixing.mix(table(spark, sf_dir, "documents"), targets), targets)
 
 
+@query
+def p9_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each target its share among the sources that have texts, whether that is reached but for what documents can't be cut, and whether none is used too often.
+
+    The stretch of a source begins and ends within a document, so it is off by two documents at most.
+    """
+    targets = table(spark, sf_dir, "mix_targets")
+    mixed = written(mixing.mix(table(spark, sf_dir, "documents"), targets))
+    largest = mixed.groupBy("source").agg(F.max("tokens").alias("largest"))
+    target = F.when(F.col("documents") > 0, F.col("target_share") / F.sum(F.when(F.col("documents") > 0, F.col("target_share"))).over(Window.partitionBy())).otherwise(0.0)
+    found = mixing.shares(mixed, targets).withColumns({"wanted": target, "total": F.sum("tokens").over(Window.partitionBy())}).join(largest, "source", "left")  # a row for each target
+    off = F.abs(F.col("tokens") - F.col("wanted") * F.col("total"))
+    return found.select("source", F.round("wanted", 6).alias("wanted"), (off <= 2 * F.coalesce("largest", F.lit(0))).alias("reached"), (F.col("most_uses") <= F.col("max_repeats")).alias("within_cap"))
+
+
 @query
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.kinds(table(spark, sf_dir, "records"))
@@ -100,4 +123,4 @@ def p7_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replaced(table(spark, sf_dir, "records"))
 
 
-ORACLES |= {"p1_found": oracles.P1_FOUND, "p1_copies": oracles.P1_COPIES, "p2_found": oracles.P2_FOUND, "p3_found": oracles.P3_FOUND, "p3_shares": oracles.P3_SHARES}
+ORACLES |= {"p1_found": oracles.P1_FOUND, "p1_copies": oracles.P1_COPIES, "p2_found": oracles.P2_FOUND, "p3_found": oracles.P3_FOUND, "p3_shares": oracles.P3_SHARES, "p6_statistics": oracles.P6_STATISTICS, "p6_wrong_values": oracles.P6_WRONG_VALUES, "p9_checks": oracles.P9_CHECKS}
